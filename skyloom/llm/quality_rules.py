@@ -72,17 +72,17 @@ def apply_rules(
     is quality, or none is known.
     """
     forest = fit(docs, labels, bound)
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality double"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_score double"
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         base = [text_stats.base_counts(t) for t in c["text"]]
         x = np.array([text_stats.features(t, b) for t, b in zip(c["text"], base, strict=True)])
         out = {n: [b[i] for b in base] for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-        return out | {"doc_id": c["doc_id"], "quality": forest.probability(x)}
+        return out | {"doc_id": c["doc_id"], "quality_score": forest.probability(x)}
 
     scored = arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes()), rows, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_score") >= threshold))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import exact_dedup, quality_rules, simhash_dedup
+from skyloom.llm import bpe, cotrain, exact_dedup, html_extract, packing, quality_rules, simhash_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +22,55 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.token_lengths(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(token_counts.histogram(lengths))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_exact_dedup, op9_simhash)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digests(encoder: bpe.PrefixEncoder, ids: list[int]) -> tuple[int, str, str]:
+        listed = ",".join(map(encoder.names.__getitem__, ids)).encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+
+    return bpe.encode_map(
+        _read(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        digests,
+        ("n_tokens", "ids_sha256", "decoded_sha256"),
+        ("long", "string", "string"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_exact_dedup,
+        op3_quality_classifier,
+        op4_token_counts,
+        op6_html_extraction,
+        op7_packing,
+        op9_simhash,
+        op10_bpe,
+    )
+}
 
 ORACLE = {
     "op2_exact_dedup": r"""
