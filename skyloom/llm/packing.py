@@ -211,7 +211,7 @@ def pack(
 
     schema = ", ".join(f"{c} long" for c in [*payload, "sequence_id", "offset"])
     # at most k - 1 pieces for each class: a bound by the capacity alone
-    rest = numbered.where("not full").select("row", *payload).groupBy(F.lit(0)).applyInPandas(fit, schema)
+    rest = numbered.where("not full").select("row", F.lit(0).alias("together"), *payload).groupBy("together").applyInPandas(fit, schema)
     return full.unionByName(rest)
 
 
