@@ -68,11 +68,11 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit("")).cast("binary").alias(name)
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str, block: int = 1024) -> DataFrame:
     """``mapInArrow`` for a function from columns of Python lists to columns of lists.
 
-    The output types are those of *schema*; batches are bounded by the session's
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    The output types are those of *schema*.  At most *block* rows of an Arrow batch are
+    Python objects at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -82,10 +82,10 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(target)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = rows({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                out = rows({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 

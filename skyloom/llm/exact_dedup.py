@@ -58,7 +58,7 @@ def _representatives(docs: DataFrame) -> DataFrame:
         return out
 
     schema = "members array<struct<doc_id: long, chars: long>>, sha string, rest binary"
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes()), rows, schema).withColumn("rep", F.monotonically_increasing_id())
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes()), rows, schema, block=1 << 20).withColumn("rep", F.monotonically_increasing_id())
 
 
 def _classes(reps: DataFrame, scratch: Scratch, first: int, wider: int) -> DataFrame | None:

@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, cotrain, exact_dedup, html_extract, packing, quality_rules, simhash_dedup, token_counts
+from skyloom.llm import bpe, cotrain, exact_dedup, hmm_lm, html_extract, packing, quality_rules, simhash_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(lengths))
 
 
+def op5_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
 
@@ -65,6 +69,7 @@ QUERIES = {
         op2_exact_dedup,
         op3_quality_classifier,
         op4_token_counts,
+        op5_hmm_scoring,
         op6_html_extraction,
         op7_packing,
         op9_simhash,
