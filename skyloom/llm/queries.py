@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import bpe, cotrain, exact_dedup, hmm_lm, html_extract, packing, quality_rules, simhash_dedup, token_counts
+from skyloom.llm import bpe, cotrain, exact_dedup, hmm_lm, html_extract, license_scan, packing, quality_rules, simhash_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -72,12 +76,14 @@ QUERIES = {
         op5_hmm_scoring,
         op6_html_extraction,
         op7_packing,
+        op8_license_scan,
         op9_simhash,
         op10_bpe,
     )
 }
 
 ORACLE = {
+    "op8_license_scan": license_scan.scan_sql(),
     "op2_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
