@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from math import log, log1p
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,8 +261,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of *docs*, all columns, that the classifier keeps, decided row by row in one pass."""
-    import pandas as pd
-
     model = fit(docs, labels, **options)
 
     @F.pandas_udf("boolean")

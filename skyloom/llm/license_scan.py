@@ -3,66 +3,101 @@
 A text is brought to a canonical form (case, copyright lines, punctuation and spellings that
 mean the same), and the digest of the entire form is looked up among those of known licences
 by a hash join.  The units are each whole document and each of its lines, so a notice that
-stands as a line of a page is found as well as a licence file.  Everything is built-in
-expressions; the known digests are a fixed small table, which is what the join broadcasts.
+stands as a line of a page is found as well as a licence file.  Forms whose length no known
+form has cannot be equal to one and are not digested.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.llm.common import arrow_map
 from skyloom.llm.license_texts import KNOWN
 
-# Fixed values: (pattern, replacement) in order, in the syntax that Java, RE2 and Python share.
+# Fixed values: (pattern, replacement) in order, in the syntax that RE2 and Python share.
 COPYRIGHT_LINES = (
-    (r"(?m)^[^a-z0-9\n]*copyright[^\n]*(\(c\)|©|[0-9][0-9][0-9][0-9])[^\n]*$", " "),
-    (r"(?m)^[^a-z0-9\n(©]*(\(c\)|©)[^\n]*$", " "),
-    (r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", " "),
+    (r"^[^a-z0-9\n]*copyright[^\n]*(\(c\)|©|[0-9][0-9][0-9][0-9])[^\n]*$", " "),
+    (r"^[^a-z0-9\n(©]*(\(c\)|©)[^\n]*$", " "),
+    (r"^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$", " "),
 )
 PUNCTUATION = ((r"[^\p{L}\p{N}]+", " "),)
 SPELLINGS = (
     (r"\blicence", "license"),
     (r"\bsub license", "sublicense"),
     (r"\bnon infringement\b", "noninfringement"),
-    (r"\bv(ersion)? ?([0-9])", "version $2"),
+    (r"\bv(ersion)? ?([0-9])", r"version \2"),
     (r"\bhttps\b", "http"),
     (r"isation\b", "ization"),
     (r"\bcopyright owner", "copyright holder"),
 )
+_COPYRIGHT = re.compile("|".join(p for p, _ in COPYRIGHT_LINES))
+_WORD = re.compile(r"[^\W_]+")
+_SPELLINGS = [(re.compile(p, re.A), to) for p, to in SPELLINGS]
+#: Without one of these no spelling rule changes anything.
+_SPELLED = re.compile(r"licence|sub license|non infringement|\bv ?[0-9]|version[0-9]|https|isation|copyright owner")
 
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; empty for null, for punctuation alone and for copyright lines alone."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in (*COPYRIGHT_LINES, *PUNCTUATION, *SPELLINGS):
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+def _spelled(form: str) -> str:
+    if _SPELLED.search(form):
+        for pattern, to in _SPELLINGS:
+            form = pattern.sub(to, form)
+    return form
 
 
-def known_digests(spark: SparkSession, known: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license): the canonical digests of the known texts; the first name of a digest counts."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(known)]
-    df = spark.createDataFrame(rows, "i int, license string, text string")
-    return df.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min_by("license", "i").alias("license"))
+def canonical_units(text: str) -> list[str]:
+    """Canonical forms of the whole text, then of each of its lines."""
+    low = text.lower()
+    lines = low.split("\n")
+    if "copyright" in low or "(c)" in low or "©" in low or "all rights reserved" in low:
+        lines = [" " if _COPYRIGHT.search(x) else x for x in lines]
+    forms = [" ".join(_WORD.findall(x)) for x in lines]
+    return [_spelled(" ".join(filter(None, forms))), *map(_spelled, forms)]
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def canonical(text: str) -> str:
+    """Canonical form of a text; empty for punctuation alone and for copyright lines alone."""
+    return canonical_units(text)[0]
+
+
+def known_digests(known: Iterable[tuple[str, str]] = KNOWN) -> dict[str, tuple[str, int]]:
+    """Digest of each known canonical form: the first name it has, and the form's length."""
+    out: dict[str, tuple[str, int]] = {}
+    for name, text in known:
+        form = canonical(text)
+        out.setdefault(hashlib.sha256(form.encode()).hexdigest(), (name, len(form)))
+    return out
+
+
+def scan(docs: DataFrame, known: Iterable[tuple[str, str]] = KNOWN) -> DataFrame:
     """doc_id, line_no, license, digest: one row for each unit of *docs* that is a known licence.
 
     ``line_no`` is 0 for the whole text and counts lines from 1; a text of one line matches as
     both.  Null and empty texts match nothing; repeated rows match each; a null doc_id stays.
-    *known* (digest, license) must be small enough to broadcast; it is a list, not corpus data.
+    *known* is a list of (name, text), not corpus data, so its digests are broadcast.
     """
-    if known is None:
-        known = known_digests(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    units = docs.select("doc_id", F.posexplode(F.concat(F.array(text), F.split(text, "\n", -1))).alias("line_no", "unit"))
-    form = units.select("doc_id", F.col("line_no").cast("long").alias("line_no"), canonical(F.col("unit")).alias("form"))
-    hashed = form.where("form <> ''").select("doc_id", "line_no", F.sha2("form", 256).alias("digest"))
-    return hashed.join(F.broadcast(known), "digest").select("doc_id", "line_no", "license", "digest")
+    spark: SparkSession = docs.sparkSession
+    digests = known_digests(known)
+    lengths = frozenset(n for _, n in digests.values() if n)
+
+    def rows(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": [], "line_no": [], "digest": []}
+        for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
+            for i, form in enumerate(canonical_units(text)):
+                if len(form) in lengths:
+                    out["doc_id"].append(doc_id)
+                    out["line_no"].append(i)
+                    out["digest"].append(hashlib.sha256(form.encode()).hexdigest())
+        return out
+
+    few = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = arrow_map(few, rows, "doc_id long, line_no long, digest string")
+    table = spark.createDataFrame([(d, name) for d, (name, n) in digests.items() if n], "digest string, license string")
+    return hashed.join(F.broadcast(table), "digest").select("doc_id", "line_no", "license", "digest")
 
 
 def scan_sql(known: Iterable[tuple[str, str]] = KNOWN) -> str:
@@ -73,8 +108,8 @@ def scan_sql(known: Iterable[tuple[str, str]] = KNOWN) -> str:
 
     def form(x: str) -> str:
         x = f"lower({x})"
-        for pattern, to in (*COPYRIGHT_LINES, *PUNCTUATION, *SPELLINGS):
-            x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
+        for pattern, to in (*((f"(?m){p}", to) for p, to in COPYRIGHT_LINES), *PUNCTUATION, *SPELLINGS):
+            x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to)}, 'g')"
         return f"trim({x})"
 
     values = ", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(known))

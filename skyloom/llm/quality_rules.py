@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
 
 def keep_column(forest: gbdt.Forest, min_words: int = 50, max_repeat_percent: int = 50, threshold: float = 0.5):
     """The verdict as an Arrow-batched boolean function of UTF-8 bytes."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def keep(text: pd.Series) -> pd.Series:
         base = [text_stats.base_counts(bytes(t)) for t in text]
