@@ -29,8 +29,8 @@ from skyloom.llm.common import Scratch, arrow_map
 
 #: Words a worker remembers; a full cache is emptied.
 CACHE = 500_000
-#: Pieces a share of a class should hold.
-SHARE_PIECES = 50_000
+#: Shares of all pieces for each shuffle partition.
+SHARES = 4
 
 
 #: Words whose normalisation is lower-casing alone: no combining marks, no odd spaces, no dotted capital I.
@@ -168,7 +168,6 @@ def pack(
     end_id: int = 2,
     capacity: int = 4096,
     slack: int = 64,
-    share: int = SHARE_PIECES,
 ) -> DataFrame:
     """Pieces of all documents with the sequence and offset that harmonic packing gives them.
 
@@ -179,14 +178,17 @@ def pack(
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cut = scratch.write(pieces(docs, tokenizer_path, end_id, capacity, slack), "pieces")
-    counts = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    # the classes are at most `capacity` rows
-    shares = counts.select("length", "n", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / share)).alias("shares"))
-    salted = cut.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")))
+    spark = docs.sparkSession
+    # one row for each class, at most `capacity` of them
+    counts = [(r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]
+    wanted = SHARES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = sum(n for _, n in counts) or 1
+    shares = spark.createDataFrame([(length, n, -(-n * wanted // total)) for length, n in counts], "length long, n long, shares long")
+    salted = cut.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("row", "start"), F.col("shares")))
     by_share = salted.groupBy("length", "share").agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_share.select("length", "share", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "share").orderBy("row")
+    inside = Window.partitionBy("length", "share").orderBy("row", "start")
     numbered = (
         salted.withColumn("nth", F.row_number().over(inside) - 1)
         .join(starts, ["length", "share"])
