@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.common import arrow_map
 
 #: Entries of the caches of a worker; a full cache is emptied.
-CACHE = 500_000
+CACHE = 1_000_000
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
 
@@ -71,7 +71,7 @@ class PrefixEncoder:
                 known = self.merge(own) == [token]
             else:
                 known = self.merge(self.tokens[before] + own) == [before, token]
-            if len(self.pairs) >= 2 * CACHE:
+            if len(self.pairs) >= CACHE:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
