@@ -37,7 +37,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered samples: one detector-scan for each detector and day."""
     events = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 4).alias("det_id"),
-        F.to_date("ts").alias("scan_day"),
+        F.unix_date(F.to_date("ts")).cast("long").alias("scan_day"),
         "event_id",
         F.col("value").alias("tod"),
         (F.col("event_id") % NPIX).alias("pix"),
@@ -105,7 +105,7 @@ VIEWS = {
         CAST(extract(year FROM l_shipdate) AS BIGINT) AS scan_id, (l_partkey*7 + l_linenumber) % 48 AS pix,
         pi()*(l_partkey % 97)/97e0 AS psi, l_extendedprice/1e3 AS tod,
         CASE WHEN l_discount > 8e-2 THEN 1 ELSE 0 END AS flag, 1e0 + (l_suppkey % 4) AS sigma0 FROM lineitem""",
-    "timeline": """SELECT user_id % 4 AS det_id, CAST(ts AS DATE) AS scan_day, event_id, value AS tod, event_id % 48 AS pix,
+    "timeline": """SELECT user_id % 4 AS det_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS scan_day, event_id, value AS tod, event_id % 48 AS pix,
         pi()*(event_id % 97)/97e0 AS psi, CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS flag,
         row_number() OVER (PARTITION BY user_id % 4, CAST(ts AS DATE) ORDER BY event_id) - 1 AS i FROM events""",
     "pixels": "SELECT range AS pix FROM range(48)",
