@@ -75,7 +75,7 @@ FILL = f"""{ISLANDS}, g AS (SELECT det_id, scan_day, min(i) AS lo, max(i) AS hi
     FROM k LEFT JOIN f ON f.det_id = k.det_id AND f.scan_day = k.scan_day AND k.i BETWEEN f.lo AND f.hi"""
 
 
-@register("WIN-06 WIN-07 GAIN-02", "det_id scan_day i", "filled", FILL)
+@register("WIN-06 WIN-07 GAIN-02", "det_id scan_day i", "filled", FILL, 9)
 def filled_gaps(spark, d):
     return tl.fill_gaps(_kept(spark, d), KEYS, "tod", "keep")
 
@@ -131,7 +131,7 @@ def scan_bearing(spark, d):
     return x.withColumn("bearing", F.coalesce("x", F.lag("x").over(w)))
 
 
-@register("WIN-18", "det_id scan_day i", "weighted", "SELECT det_id, scan_day, i, (tod - avg(tod) OVER (PARTITION BY det_id, scan_day))/4e0 AS weighted FROM timeline")
+@register("WIN-18", "det_id scan_day i", "weighted", "SELECT det_id, scan_day, i, (tod - avg(tod) OVER (PARTITION BY det_id, scan_day))/4e0 AS weighted FROM timeline", 9)
 def white_inverse_noise(spark, d):
     return t.timeline(spark, d).withColumn("weighted", (F.col("tod") - F.avg("tod").over(Window.partitionBy(*KEYS))) / 4.0)
 
