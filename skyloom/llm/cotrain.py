@@ -15,6 +15,7 @@ from math import log, log1p
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from skyloom.llm.common import arrow_map
 from skyloom.llm.quality_rules import sample_labels
 
 #: Labelled rows the models are fitted on, and unlabelled rows of the co-training pool, at most.
-MAX_LABELLED, MAX_POOL = 6_000, 6_000
+MAX_LABELLED, MAX_POOL = 5_000, 5_000
 #: Hashed words of the content view; hashed values of the metadata view.
 WORD_BUCKETS, META_BUCKETS = 1 << 12, 256
 _DENSE = len(text_stats.FEATURES)
@@ -81,6 +82,15 @@ class Rows:
         val = np.fromiter((v for _, vals in views for v in vals), float, sum(sizes))
         return Rows(row, col, val, len(views))
 
+    @staticmethod
+    def of_arrow(table: pa.Table, cols: str, vals: str) -> Rows:
+        """From list columns, without Python objects."""
+        lists = table.column(cols).combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        col = lists.flatten().to_numpy().astype(np.int32)
+        val = table.column(vals).combine_chunks().flatten().to_numpy()
+        return Rows(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), col, val, len(sizes))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
 
@@ -231,11 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
     schema = "doc_id long, label int, tc array<int>, tv array<float>, mc array<int>, mv array<float>"
     got = arrow_map(rows, sparse, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    c = got.to_pydict() if got.num_rows else {n: [] for n in ("label", "tc", "tv", "mc", "mv")}
-    label = np.array(c["label"], int)
-    text = Rows.of(list(zip(c["tc"], c["tv"], strict=True)))
-    meta = Rows.of(list(zip(c["mc"], c["mv"], strict=True)))
-    return cotrain(text, meta, label, **options)
+    label = got.column("label").to_numpy().astype(int)
+    return cotrain(Rows.of_arrow(got, "tc", "tv"), Rows.of_arrow(got, "mc", "mv"), label, **options)
 
 
 def _scores(model: Model, c: dict[str, list]) -> dict[str, np.ndarray]:
