@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skyloom.llm import bpe, cotrain, exact_dedup, hmm_lm, html_extract, license_scan, packing, quality_rules, simhash_dedup, token_counts
+from skyloom.llm.common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +29,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return token_counts.suffix_sums(token_counts.histogram(lengths))
+    # the sums read the histogram more than once; the corpus is encoded once
+    return token_counts.suffix_sums(Scratch(spark, "lengths").write(token_counts.histogram(lengths), "histogram"))
 
 
 def op5_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
