@@ -17,7 +17,7 @@ from skyloom.llm.bpe import _CHUNK, _OTHER_SPACE, CACHE, _shipped, read_ranks
 from skyloom.llm.common import arrow_map
 
 #: Lengths of a block of the histogram, for sums in two levels.
-LENGTH_BLOCK = 4096
+LENGTH_BLOCK = 64
 
 
 class Counter:
@@ -66,7 +66,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     truncated_tokens (the corpus cut at this limit), docs_up_to, quantile (their share).
 
     Sums run inside blocks of ``LENGTH_BLOCK`` lengths in parallel; only the totals of the
-    blocks, one row for each 4096 tokens of the longest document, are summed in one task.
+    blocks, one row for each 64 tokens of the longest document, are summed in one task.
     An empty histogram gives no row.
     """
     blocks = hist.withColumn("block", F.floor(F.col("n_tokens") / LENGTH_BLOCK))
