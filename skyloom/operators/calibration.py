@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def decompose_gains(df: DataFrame, det: str, gain: str) -> DataFrame:
     """Absolute (mean of all), relative (mean of a detector less that) and temporal (the rest) gain."""
-    return (
-        df.withColumn("g_abs", F.avg(gain).over(Window.partitionBy(F.lit(1))))
-        .withColumn("g_rel", F.avg(gain).over(Window.partitionBy(det)) - F.col("g_abs"))
-        .withColumn("g_temp", F.col(gain) - F.col("g_abs") - F.col("g_rel"))
-    )
+    total = df.agg(F.avg(gain).alias("g_abs"))
+    by_det = df.groupBy(det).agg(F.avg(gain).alias("_mean"))
+    out = df.join(by_det, det).crossJoin(F.broadcast(total))  # one row
+    return out.withColumns({"g_rel": F.col("_mean") - F.col("g_abs"), "g_temp": F.col(gain) - F.col("_mean")}).drop("_mean")
 
 
 def fit_sums(df: DataFrame, keys: list[str], signal: Column, data: Column, weight: Column) -> DataFrame:

@@ -129,3 +129,29 @@ def smooth(values: np.ndarray, rms: np.ndarray, nside: int, lmax: int, window: n
     seen = both[1] > 0
     safe = np.where(seen, both[1], 1.0)
     return np.where(seen, both[0] / safe, 0.0), np.where(seen, 1 / np.sqrt(safe), np.inf)
+
+
+def gaussian_window(lmax: int, fwhm_arcmin: float) -> np.ndarray:
+    ell = np.arange(lmax + 1)
+    return np.exp(-0.5 * ell * (ell + 1) * (fwhm_arcmin * pi / 180 / 60) ** 2 / (8 * np.log(2)))
+
+
+def smooth_to(values: np.ndarray, nside: int, lmax: int, fwhm: float, target: float) -> np.ndarray:
+    """Smooth a map of resolution *fwhm* to *target* (arcmin); an equal or finer target changes nothing."""
+    if target <= fwhm:
+        return values
+    fl = gaussian_window(lmax, sqrt(target**2 - fwhm**2))
+    return synthesis(least_squares(values, nside, lmax) * fl[[ell for ell, _ in pairs(lmax)]], nside, lmax)
+
+
+def random_alm(cl: np.ndarray, spin: int, rng: np.random.Generator) -> np.ndarray:
+    """Gaussian coefficients of a spectrum; none below the spin, real at m = 0."""
+    lm = pairs(len(cl) - 1)
+    x = (rng.standard_normal(len(lm)) + 1j * rng.standard_normal(len(lm))) / sqrt(2)
+    x = np.array([v.real * sqrt(2) if m == 0 else v for v, (_, m) in zip(x, lm, strict=True)], complex)
+    return x * np.array([sqrt(cl[ell]) if ell >= spin else 0.0 for ell, _ in lm])
+
+
+def band_sky(amplitude: np.ndarray, sed: float, nside: int, lmax: int, fwhm: float, band_fwhm: float) -> np.ndarray:
+    """A diffuse component in a band: amplitude times spectrum, smoothed by what the amplitude lacks."""
+    return smooth_to(amplitude, nside, lmax, fwhm, band_fwhm) * sed

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from math import cos, pi, sin
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators import fourier
 from skyloom.operators.mapmaking import small
 
 
@@ -39,3 +42,32 @@ def cross_talk(samples: DataFrame, matrix: DataFrame, keys: list[str], value: st
     """Each detector's samples as the mix of all detectors' at the same place."""
     source = samples.withColumnRenamed("det_id", "from_det")
     return source.join(small(matrix, 1 << 16), "from_det").groupBy("det_id", *keys).agg(F.sum(F.col("x") * F.col(value)).alias("mixed"))
+
+
+def noise(n: int, fsamp: float, sigma0: float, fknee: float, alpha: float, rng: np.random.Generator) -> np.ndarray:
+    """White noise shaped to a 1/f spectrum; the zero mode has half the first frequency's level. A knee of 0 is white."""
+    x = rng.standard_normal(n) * sigma0
+    if fknee <= 0 or n < 2:
+        return x
+    f = np.fft.rfftfreq(n, 1 / fsamp)
+    f[0] = f[1] / 2
+    return np.fft.irfft(np.fft.rfft(x) * np.sqrt(1 + (f / fknee) ** alpha), n)
+
+
+def simulate(samples: DataFrame, keys: list[str], signal: str, seed: int, fsamp: float, sigma0: float, fknee: float = 0.0, alpha: float = -1.0, gain: float = 1.0, tau: float = 0.0) -> DataFrame:
+    """Replace each detector-scan's samples by T(gain * signal) + noise.
+
+    The draw is keyed by the seed and the scan's keys, so a lost task repeats the same samples
+    whatever the partitions.
+    """
+    import zlib
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, *(zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys)])
+        x = gain * pdf[signal].to_numpy(float)
+        if tau:
+            x = fourier.transfer(x, fsamp, lambda f: 1 / (1 + 2j * pi * f * tau))
+        return pdf[[*keys, "i"]].assign(tod=x + noise(len(x), fsamp, sigma0, fknee, alpha, rng))
+
+    types = dict(samples.dtypes)
+    return fourier.over_scans(samples, keys, run, ", ".join([*(f"{k} {types[k]}" for k in keys), "i long", "tod double"]))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from skyloom.operators import codec, fourier, harmonics, sampling
+from skyloom.functions.spline import spinning_dust
+from skyloom.operators import codec, dense, fourier, harmonics, sampling, simulation
+from skyloom.operators import mapmaking as mm
 from skyloom.plans.registry import register
 from skyloom.sources import driver_tables as t
 
@@ -143,3 +145,34 @@ def spectral_index_chain(spark, d):
     group = sampling.SpectralIndex({"beta": -0.5}, {"beta": 0.05}, {"beta": (-4.0, 1.0)}, lambda s: float(-0.5 * np.sum(w * (m - amp * (nu / nu[0]) ** s["beta"]) ** 2)), {"beta": (0.0, 1.0)})
     taken = sampling.metropolis(group, 500, np.random.default_rng(5))
     return spark.createDataFrame([("beta", group.state["beta"]), ("accepted", float(taken))], "name string, value double")
+
+
+@register("LIN-09 LIN-12 SEP-07", "pix solved", "c0 c1", """WITH s AS (SELECT pix, sum(w) AS a, sum(w*m) AS b, sum(w*m*m) AS c, sum(w*d) AS y0, sum(w*m*d) AS y1 FROM
+    (SELECT pix, d, 1e0/(rms*rms) AS w, pow(chan*1e0, -15e-1) AS m FROM channels) x GROUP BY pix)
+    SELECT pix, a*c - b*b > 1e-12*a*c AS solved, (c*y0 - b*y1)/(a*c - b*b) AS c0, (a*y1 - b*y0)/(a*c - b*b) AS c1 FROM s""")
+def components_by_cholesky(spark, d):
+    mixing = [F.lit(1.0), F.pow(F.col("chan").cast("double"), F.lit(-1.5))]
+    return dense.solve_rows(mm.mixing_sums(t.channels(spark, d), "pix", mixing, F.col("d"), F.lit(1.0) / (F.col("rms") * F.col("rms"))), "pix", 2)
+
+
+@register("SIM-05 SIM-06 SIM-07 SIM-08 SIM-19 SIM-21", "det_id scan_day i", "tod")
+def simulated_scans(spark, d):
+    x = mm.with_sky(t.timeline(spark, d), t.sky(spark), t.NPIX)
+    return simulation.simulate(x, KEYS, "signal", 1, 1.0, 0.5, 0.1, -1.5, 1.5, 2.0)
+
+
+@register("SIM-04 SIM-05", "det_id scan_day n", "mean", "SELECT det_id, scan_day, count(*) AS n, 15e-1*avg(s_i + s_q*cos(2e0*psi) + s_u*sin(2e0*psi)) AS mean FROM timeline JOIN sky USING (pix) GROUP BY 1, 2", 6)
+def simulated_means(spark, d):
+    """Without noise and filter a scan is its gain times its signal."""
+    x = mm.with_sky(t.timeline(spark, d), t.sky(spark), t.NPIX)
+    out = simulation.simulate(x, KEYS, "signal", 1, 1.0, 0.0, 0.0, -1.0, 1.5)
+    return out.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("tod").alias("mean"))
+
+
+@register("SKY-06", "k", "sed")
+def spinning_dust_spectrum(spark, d):
+    table_nu = np.geomspace(1.0, 300.0, 60)
+    table = (table_nu / 30) ** 2.5 * np.exp(-((table_nu / 30) ** 1.2))
+    nu = np.arange(5.0, 205.0, 5.0)
+    sed = spinning_dust(nu, 22.0, 25.0, table_nu, table, 30.0)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(sed)], "k int, sed double")

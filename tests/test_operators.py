@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from skyloom.functions import geometry as geo
-from skyloom.operators import calibration, codec, fourier, harmonics, sampling, timelines
+from skyloom.functions.spline import not_a_knot, spinning_dust
+from skyloom.operators import calibration, codec, dense, fourier, harmonics, sampling, simulation, timelines
 from skyloom.operators import mapmaking as mm
-from skyloom.sources import readers, sinks
+from skyloom.sources import parameters, readers, sinks
 from skyloom.streaming import increments
 
 rng = np.random.default_rng(11)
@@ -208,3 +209,66 @@ def test_selection_of_scans_with_nan(spark):
     stats = spark.createDataFrame([("a", 0.9, 1.0), ("a", 0.9, float("nan")), ("a", 0.1, 1.0), ("a", 0.9, 9.0)], "k string, good_fraction double, chisq_z double")
     r = calibration.selection_counts(stats, ["k"], 0.5, 5.0).first()
     assert (r.present, r.accepted, r.low_fraction, r.bad_chisq) == (4, 1, 1, 2)
+
+
+def test_dense_solvers():
+    m = rng.standard_normal((50, 4, 4))
+    a = m @ m.transpose(0, 2, 1) + 0.1 * np.eye(4)
+    b = rng.standard_normal((50, 4))
+    a[7] = -np.eye(4)
+    x, ok = dense.cholesky_solve(a, b)
+    assert not ok[7] and not x[7].any() and ok.sum() == 49
+    assert np.allclose(x[ok], np.linalg.solve(a[ok], b[ok][..., None])[..., 0])
+    f, order, regular = dense.lu(m[0])
+    assert regular and np.allclose(dense.lu_solve(f, order, b[0]), np.linalg.solve(m[0], b[0]))
+    assert not dense.lu(np.zeros((3, 3)))[2]
+    assert np.allclose(dense.floored_inverse(a[0]), np.linalg.inv(a[0]))
+    symmetric, least, _ = dense.check_operator(dense.operator_matrix(lambda v: a[0] @ v, 4))
+    assert symmetric and least > 0
+
+
+def test_spline_is_exact_for_cubics():
+    x = np.sort(rng.random(9)) * 4
+    p = np.poly1d([0.3, -1, 2, 0.5])
+    at = np.linspace(x[0], x[-1], 50)
+    assert np.allclose(not_a_knot(x, p(x), at), p(at))
+    nu = np.geomspace(1, 100, 40)
+    sed = spinning_dust(np.array([20.0, 22.0, 1000.0]), 22.0, 30.0, nu, nu**1.5, 30.0)
+    assert np.isclose(sed[0], (20 / 22) ** -0.5) and sed[1] == 1 and sed[2] == 0
+
+
+def test_smoothing_and_random_coefficients():
+    nside, lmax = 4, 6
+    alm = harmonics.random_alm(np.ones(lmax + 1), 2, np.random.default_rng(2))
+    ell = np.array([x for x, _ in harmonics.pairs(lmax)])
+    assert not alm[ell < 2].any() and not alm[: lmax + 1].imag.any()
+    m = harmonics.synthesis(alm, nside, lmax)
+    got = harmonics.band_sky(m, 2.0, nside, lmax, 600.0, 1000.0)
+    assert np.allclose(got, 2 * harmonics.synthesis(alm * harmonics.gaussian_window(lmax, 800.0)[ell], nside, lmax), atol=1e-7)
+    assert harmonics.smooth_to(m, nside, lmax, 10.0, 5.0) is m
+
+
+def test_simulation_repeats_whatever_the_partitions(spark):
+    df = spark.createDataFrame([(k, i, float(i)) for k in range(3) for i in range(64)], "k long, i long, s double")
+    a, b = (simulation.simulate(x, ["k"], "s", 3, 1.0, 1.0, 0.1, -1.5).orderBy("k", "i").collect() for x in (df, df.repartition(7)))
+    assert a == b and len({r.tod for r in a}) == 192
+    x = simulation.noise(1 << 16, 1.0, 2.0, 0.0, -1.0, np.random.default_rng(1))
+    assert abs(x.std() - 2) < 0.05
+
+
+def test_parameters(tmp_path):
+    (tmp_path / "in.yml").write_text("nu: 30\nname: low\n")
+    (tmp_path / "p.yml").write_text("general:\n  factor: 2\nbands:\n  a: !inc in.yml\n  b:\n    nu: 44\n    factor: 3\n")
+    p = parameters.load(tmp_path / "p.yml")
+    assert p.bands.a.nu == 30 and p.bands.b._name == "b"
+    assert [parameters.resolve("factor", b, p.general, default=1) for b in (p.bands.a, p.bands.b)] == [2, 3]
+    with pytest.raises(ValueError, match="temp"):
+        parameters.check_keys({"temp": 1}, {"temporal"})
+    groups = parameters.check_groups({"g": {"components": ["x"]}, "h": {}}, {"x", "y"}, {"a", "b"})
+    assert groups == {"g": (["x"], ["a", "b"]), "h": (["x", "y"], ["a", "b"])}
+    with pytest.raises(ValueError, match="unknown bands z"):
+        parameters.check_groups({"g": {"bands": ["z"]}}, {"x"}, {"a"})
+    with pytest.raises(ValueError, match="no amplitude groups q"):
+        parameters.check_tiers(groups, {"s": {"resolve": ["q"]}})
+    assert parameters.transfer_of({"tau": 1}, None)["tau"] == 1 and parameters.transfer_of({}, {"kind": "x"}) == {"kind": "x"}
+    assert parameters.views({"a": "IQU", "b": "I"}, 2) == [[("a", "I"), ("b", "I")], [("a", "QU")]]
