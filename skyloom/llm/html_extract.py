@@ -163,7 +163,8 @@ def lines(page: str) -> list[Line]:
 def surges(lengths: list[int], window: int = 3, surge: int = 60) -> list[tuple[int, int]]:
     """Regions [first, end) of lines: begun where the windowed sum surges, ended where it dives to zero.
 
-    A page whose sums never reach *surge* surges at its highest sum.
+    A page whose sums never reach *surge* surges at its highest sum.  Lines before the surge
+    point belong to the region only if a window that surges holds them.
     """
     n = len(lengths)
     sums, total = [], sum(lengths[:window])
@@ -183,7 +184,8 @@ def surges(lengths: list[int], window: int = 3, surge: int = 60) -> list[tuple[i
             j += 1
         runs.append((i, j))
         i = j
-    return [(a, b) for a, b in runs if max(sums[a:b]) >= height]
+    points = ((next((k for k in range(a, b) if sums[k] >= height), b), b) for a, b in runs)
+    return [(a, b) for a, b in points if a < b]
 
 
 def main_text(page: str, window: int = 3, surge: int = 60) -> str:

@@ -51,6 +51,8 @@ def test_page_shapes(page, want):
 def test_surges_and_dives():
     assert html_extract.surges([0, 0, 100, 50, 0, 0, 0, 80, 0]) == [(2, 4), (7, 8)]
     assert html_extract.surges([5, 0, 0, 0, 9]) == [(4, 5)]
+    assert html_extract.surges([5, 5, 5, 5, 90, 5, 0, 0, 0]) == [(2, 6)]
+    assert html_extract.surges([5, 5, 90], surge=1) == [(0, 3)]
     assert html_extract.surges([0, 0]) == [] and html_extract.surges([]) == []
 
 
