@@ -272,9 +272,12 @@ def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 
     @F.pandas_udf("boolean")
     def keep(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.Series:
-        n = [None if pd.isna(v) else int(v) for v in n_chars]
-        c = {"text": list(text), "source": list(source), "lang": list(lang), "n_chars": n}
-        return pd.Series(_scores(model, c)["score"] >= threshold)
+        kept = []
+        for at in range(0, len(text), 512):  # a few documents' features at a time
+            n = [None if pd.isna(v) else int(v) for v in n_chars[at : at + 512]]
+            c = {"text": list(text[at : at + 512]), "source": list(source[at : at + 512]), "lang": list(lang[at : at + 512]), "n_chars": n}
+            kept.append(_scores(model, c)["score"] >= threshold)
+        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
 
     types = dict(docs.dtypes)
     meta = [F.col(c).cast(t) if c in types else F.lit(None).cast(t) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,14 +26,25 @@ def sample_labels(labels: DataFrame, bound: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def _measured(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Base counts (rows of five) and learned features; a text's words are dropped before the next one's are made."""
+    counts, learned = [], []
+    for text in texts:
+        base = text_stats.base_counts(text)
+        counts.append(base[:5])
+        learned.append(text_stats.features(text, base))
+    return np.array(counts, np.int64).reshape(-1, 5), np.array(learned, float).reshape(-1, len(text_stats.FEATURES))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def statistics(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the base counts of whole texts (null: no words) and the learned features."""
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        base = [text_stats.base_counts(t) for t in c["text"]]
-        out = {n: [b[i] for b in base] for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-        out["features"] = [text_stats.features(t, b) for t, b in zip(c["text"], base, strict=True)]
-        return out | {n: c[n] for n in ("doc_id", *extra)}
+        counts, learned = _measured(c["text"])
+        return dict(zip(COUNTS, counts.T, strict=True)) | {"features": list(learned)} | {n: c[n] for n in ("doc_id", *extra)}
 
     types = dict(docs.dtypes)
     more = "".join(f", {n} {types[n]}" for n in extra)
@@ -76,10 +89,8 @@ def apply_rules(
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality_score double"
 
     def rows(c: dict[str, list]) -> dict[str, list]:
-        base = [text_stats.base_counts(t) for t in c["text"]]
-        x = np.array([text_stats.features(t, b) for t, b in zip(c["text"], base, strict=True)])
-        out = {n: [b[i] for b in base] for i, n in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
-        return out | {"doc_id": c["doc_id"], "quality_score": forest.probability(x)}
+        counts, learned = _measured(c["text"])
+        return dict(zip(COUNTS, counts.T, strict=True)) | {"doc_id": c["doc_id"], "quality_score": forest.probability(learned)}
 
     scored = arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes()), rows, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -96,9 +107,8 @@ def keep_column(forest: gbdt.Forest, min_words: int = 50, max_repeat_percent: in
     """The verdict as an Arrow-batched boolean function of UTF-8 bytes."""
     @F.pandas_udf("boolean")
     def keep(text: pd.Series) -> pd.Series:
-        base = [text_stats.base_counts(bytes(t)) for t in text]
-        x = np.array([text_stats.features(bytes(t), b) for t, b in zip(text, base, strict=True)]).reshape(-1, len(text_stats.FEATURES))
-        failed = np.array([b[0] < min_words or 100 * b[4] > max_repeat_percent * b[0] for b in base], bool)
-        return pd.Series(~failed & (forest.probability(x) >= threshold))
+        counts, learned = _measured(map(bytes, text))
+        failed = (counts[:, 0] < min_words) | (100 * counts[:, 4] > max_repeat_percent * counts[:, 0])
+        return pd.Series(~failed & (forest.probability(learned) >= threshold))
 
     return keep
