@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,26 +59,27 @@ class WordTokenizer:
         #: Only a file of this kind may take the short way.
         self.short = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["invert"]
         self.split = regex.compile(splits[0]["pattern"]["Regex"]) if self.short else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        #: Ids as little-endian unsigned 32-bit integers: smaller than tuples, and texts are joins of them.
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> tuple[int, ...]:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
             raw = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = tuple(t.id for t in self.model.tokenize(raw))
+            ids = _packed([t.id for t in self.model.tokenize(raw)])
             if len(self.parts) >= CACHE:
                 self.parts.clear()
             self.parts[part] = ids
         return ids
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         if self.short and _SIMPLE.fullmatch(word):
             found = self.split.findall(word.lower())
-            return self._part(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(self._part, found)))
-        return tuple(self.plain.encode(word, add_special_tokens=False).ids)
+            return b"".join(map(self._part, found))
+        return _packed(self.plain.encode(word, add_special_tokens=False).ids)
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.known)
         if new:
@@ -86,7 +87,11 @@ class WordTokenizer:
                 self.known.clear()
                 new = set(words)
             self.known.update(zip(new, map(self.word, new), strict=True))
-        return list(chain.from_iterable(map(self.known.__getitem__, words)))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def cut_lengths(n: int, capacity: int, slack: int) -> list[int]:
@@ -123,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, sla
         tokenizer = _tokenizer(definition.value)
         out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
         for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
-            ids = np.array([*tokenizer.ids(text), end_id], "<u4")
+            ids = np.append(tokenizer.ids(text), np.array([end_id], "<u4"))
             at = 0
             for n in cut_lengths(len(ids), capacity, slack):
                 out["doc_id"].append(doc_id)
