@@ -30,7 +30,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near fingerprints (operator 9)."""
+    """One document of each component of near fingerprints (operator 9) and of texts whose
+    5-word shingles have a Jaccard similarity of 0.8 or more."""
     return simhash_dedup.drop_near_copies(docs)
 
 

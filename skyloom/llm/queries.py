@@ -50,7 +50,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_groups(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash_dedup.near_groups(_read(spark, sf_dir, "documents"), words=3, radius=3).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

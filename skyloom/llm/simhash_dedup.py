@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import Scratch, arrow_map, lower_words, text_bytes
 from skyloom.llm.components import components
+from skyloom.llm.similar_texts import similar_links
 
 #: Bits of a block; 16 blocks of 4 bits.
 BLOCK = 4
+#: Jaccard similarity of near copies and words of its shingles, where no radius is asked for.
+SIMILARITY, SHINGLE = 0.8, 5
 _LEAF = 1 << 14  # comparisons below which a pair of nodes is compared directly
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
@@ -228,19 +231,22 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "fp long, other long").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, radius: int | None = None) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits), component_id for every row of *docs*.
 
-    Documents are linked when their fingerprints differ in at most *radius* bits;
-    ``component_id`` is the smallest doc_id reachable, itself included.  A null or empty text
+    With a *radius*, documents are linked when their fingerprints differ in at most so many bits.
+    Without one, those within 3 bits are, and also those whose sets of 5-word shingles have a
+    Jaccard similarity of 0.8 or more (``SIMILARITY``, ``SHINGLE``); ``component_id`` is the smallest doc_id reachable, itself included.  A null or empty text
     has fingerprint zero and is linked like any other.  Null doc_ids keep their row and never
     are a component's id unless it has no other.  Repeated rows each get a row.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, words), "prints")
     points = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    found = scratch.write(links(points.select("fp"), radius), "links")
-    roots = components(found.select(F.col("fp").alias("a"), F.col("other").alias("b")), scratch)
+    edges = scratch.write(links(points.select("fp"), 3 if radius is None else radius), "links").select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    if radius is None:
+        edges = similar_links(docs, edges, lambda t: fingerprint(t, words), SIMILARITY, SHINGLE, scratch)
+    roots = components(edges, scratch)
     at = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     at = scratch.write(at, "roots")
     first = at.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -248,7 +254,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     return prints.join(by_point, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 3, radius: int | None = None) -> DataFrame:
     """The rows of *docs*, all columns, of one document a component: that with its smallest doc_id.
 
     Rows without doc_id stay; so do all rows of a doc_id that is a component's id.

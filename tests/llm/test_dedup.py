@@ -142,3 +142,42 @@ def test_drop_near_copies(documents):
     out = simhash_dedup.drop_near_copies(documents)
     assert out.columns == documents.columns
     assert {4, 6}.isdisjoint(r.doc_id for r in out.collect()) or {5, 6}.isdisjoint(r.doc_id for r in out.collect())
+
+
+def test_pipeline_stage_joins_similar_texts(spark):
+    """Of sf0.1's texts with a 5-word Jaccard similarity of 0.8 or more each pair shares a component, as brute force finds them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3500").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(docs).collect()}
+    at, sizes, shared = {}, {}, {}
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        shingles = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        sizes[r.doc_id] = len(shingles)
+        for s in shingles:
+            at.setdefault(s, []).append(r.doc_id)
+    for ids in at.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    alike = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (sizes[a] + sizes[b] - n)]
+    thin = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(docs, radius=3).collect()}
+    assert any(thin[a] != thin[b] for a, b in alike)
+    assert all(got[a] == got[b] for a, b in alike)
+    # and nothing is joined but by these and by the fingerprints
+    parent = dict(thin)
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for a, b in alike:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert {i: root(i) for i in parent} == got
+
+
+def test_pipeline_stage_asks_for_similar_texts(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    changed = words.copy()
+    for i in (40, 90, 140, 190, 240):
+        changed[i] += "x"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 3]
