@@ -5,13 +5,15 @@ sliding window of three lines is summed; where the sum surges a content region b
 it dives to nothing the region ends, and the text between is kept.  Lines of page furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), told by their
 elements and by names, and lines that are mostly links have no length, so a region neither
-begins in them nor keeps them.  Where a page marks its article, lines outside have none either.
+begins in them nor keeps them.  Where a page marks articles, lines outside all of them have none
+either.  A mark around the only articles, or around all text, is taken to be wrong and ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,6 +38,9 @@ FURNITURE_NAMES = frozenset(
     "sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget widgets complementary contentinfo "
     "alert dialog alertdialog feedback reactions teaser rail foot".split()
 )
+# Marks that hold also for an article inside: what readers and other pages say.
+FOREIGN = frozenset("nav footer aside menu dialog".split())
+FOREIGN_NAMES = frozenset("ad ads comment comments commentlist discussion disqus hidden promo promoted recommended related replies reply respond sidebar sponsored teaser".split())
 _P_CLOSERS = BLOCKS - {"br", "body", "html", "td", "th", "tr", "caption", "head", "title", "option", "legend", "summary", "figcaption"}
 _INLINE = frozenset("a b i u em strong span small big font code kbd samp var cite q s del ins mark sub sup tt abbr acronym bdi bdo data time label dfn".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -54,37 +59,41 @@ class Line:
     article: int  # number of the article element around it, 0 for none
 
 
-def _furniture_name(name: str) -> bool:
+def _furniture_name(name: str) -> int:
+    """0 for text, 1 for furniture, 2 for furniture that no article inside overrides."""
     words = set(_NAME_WORDS.findall(name))
     if words & {"has", "no", "with", "without", "not"}:
-        return False  # says what a container holds
+        return 0  # says what a container holds
     if words & {"article", "post", "entry", "story"}:
         words -= {"header"}
-    return bool(words & FURNITURE_NAMES)
+    return 2 if words & FOREIGN_NAMES else int(bool(words & FURNITURE_NAMES))
 
 
-def _names(attributes: str) -> tuple[bool, str]:
-    """Whether the attributes mark furniture; the role."""
-    role, marked = "", False
+def _names(attributes: str) -> tuple[int, str]:
+    """How the attributes mark furniture; the role."""
+    role, marked = "", 0
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            marked = True
+            marked = 2
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            marked = True
+            marked = 2
         elif name in ("class", "id", "role"):
             role = value if name == "role" else role
-            marked = marked or any(map(_furniture_name, value.split()))
+            marked = max([marked, *map(_furniture_name, value.split())])
     return marked, role
 
 
-def lines(page: str) -> list[Line]:
-    """The page without markup, one line for each run of text between block elements."""
+def lines(page: str, trust: bool = True) -> list[Line]:
+    """The page without markup, one line for each run of text between block elements.
+
+    Without *trust* an article is text also inside an element that is marked as furniture.
+    """
     out: list[Line] = []
     buffer: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # element, furniture, article
+    stack: list[tuple[str, int, int]] = []  # element, furniture, article
     articles = 0
     links = 0
 
@@ -92,7 +101,7 @@ def lines(page: str) -> list[Line]:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
         if text:
-            out.append(Line(text, min(linked, len(text)), bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
+            out.append(Line(text, min(linked, len(text)), bool(stack and stack[-1][1]), stack[-1][2] if stack else 0))
         buffer.clear()
         linked = 0
 
@@ -144,13 +153,15 @@ def lines(page: str) -> list[Line]:
                     break
                 if name in BLOCKS and name != "p":
                     break
-        marked, role = _names(m[3]) if m[3].strip() else (False, "")
-        inside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        marked, role = _names(m[3]) if m[3].strip() else (0, "")
+        inside, article = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
         container = tag in ("html", "body", "main", "article") or role in ("main", "article")
-        furniture = inside or (tag in FURNITURE or marked) and not container
+        if container and inside == 1 and not trust:
+            inside = 0
+        furniture = inside if container else max(inside, marked, 2 if tag in FOREIGN else int(tag in FURNITURE))
         # a heading group inside the article is its text, a page header is not
         if tag == "header" and article and not marked and not inside:
-            furniture = False
+            furniture = 0
         if (tag in ("article", "main") or role in ("main", "article")) and not furniture and (not article or tag == "article" and articles and stack and stack[-1][0] == "main"):
             articles += 1
             article = articles
@@ -191,19 +202,39 @@ def surges(lengths: list[int], window: int = 3, surge: int = 60) -> list[tuple[i
 def main_text(page: str, window: int = 3, surge: int = 60) -> str:
     """The text between surge and dive points, one line for each block; empty if there is none."""
     found = lines(page)
+    marked = _articles(found)
+    if not marked and any(x.furniture for x in found):
+        inside = lines(page, trust=False)
+        articles = _articles(inside)
+        # text outside any mark that is longer than such an article is the page's own
+        if _size(x for x in inside if x.article in articles) > _size(found):
+            found, marked = inside, articles
+    if marked:
+        lengths = [len(x.text) if x.article in marked and not x.furniture else 0 for x in found]
+    else:
+        lengths = [0 if x.furniture or 2 * x.linked > len(x.text) else len(x.text) for x in found]
+        if not any(lengths):
+            lengths = [0 if 2 * x.linked > len(x.text) else len(x.text) for x in found]
+    kept: set[int] = set()
+    for a, b in surges(lengths, window, 1 if marked else surge):
+        while a and lengths[a - 1]:  # a headline or byline stands right before the surge
+            a -= 1
+        kept.update(range(a, b))
+    return "\n".join(found[i].text for i in sorted(kept) if lengths[i])
+
+
+def _size(found: Iterable[Line]) -> int:
+    return sum(len(x.text) for x in found if not x.furniture and 2 * x.linked <= len(x.text))
+
+
+def _articles(found: list[Line]) -> set[int]:
+    """Numbers of the articles that are not mostly links."""
     weight: dict[int, int] = {}
     for x in found:
         if x.article and not x.furniture:
-            weight[x.article] = weight.get(x.article, 0) + len(x.text) - x.linked
-    if weight:
-        article = max(weight, key=lambda k: (weight[k], -k))
-        lengths = [len(x.text) if x.article == article and not x.furniture else 0 for x in found]
-    else:
-        lengths = [0 if x.furniture or 2 * x.linked > len(x.text) else len(x.text) for x in found]
-    regions = surges(lengths, window, 1 if weight else surge)
-    # in a marked article every region is text; elsewhere those that compare with the densest
-    least = 0 if weight else max((sum(lengths[a:b]) for a, b in regions), default=0) / 4
-    return "\n".join(x.text for a, b in regions if sum(lengths[a:b]) >= least for x, n in zip(found[a:b], lengths[a:b], strict=True) if n)
+            weight[x.article] = weight.get(x.article, 0) + len(x.text) - 2 * x.linked
+    text = {k for k, n in weight.items() if n >= 0}
+    return text or set(weight)
 
 
 def extract_pages(pages: DataFrame, window: int = 3, surge: int = 60) -> DataFrame:

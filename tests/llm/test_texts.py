@@ -48,6 +48,27 @@ def test_page_shapes(page, want):
     assert html_extract.main_text(page) == want
 
 
+BODY = "Body text of the page. " * 25
+RELATED = "<ul>" + "<li><a href=x>Another story of this site</a></li>" * 4 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div><p>{LONG}</p>{RELATED}<p>{BODY}</p></div>", f"{LONG}\n{BODY.strip()}"),
+        (f"<div><h1>Head</h1><p>By A. Bee</p><p>1 May 2020</p><p>{BODY}</p><p>End.</p></div>", f"Head\nBy A. Bee\n1 May 2020\n{BODY.strip()}\nEnd."),
+        (f"<article><p>{LONG}</p></article><article><p>{BODY}</p></article>", f"{LONG}\n{BODY.strip()}"),
+        (f"<main><h1>Headline</h1><article><p>{BODY}</p></article></main>", f"Headline\n{BODY.strip()}"),
+        (f"<div class='widget'><article><p>{LONG}</p></article></div><footer>Foot</footer>", LONG),
+        (f"<form><div><p>{LONG}</p>{RELATED}</div></form>", LONG),
+        (f"<div><p>{BODY}</p></div><div class='widget'><article><p>{LONG}</p></article></div>", BODY.strip()),
+        (f"<div><p>{BODY}</p></div><div class='comments'><article><p>{LONG}</p></article></div>", BODY.strip()),
+    ],
+)
+def test_text_outside_one_clean_article(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_surges_and_dives():
     assert html_extract.surges([0, 0, 100, 50, 0, 0, 0, 80, 0]) == [(2, 4), (7, 8)]
     assert html_extract.surges([5, 0, 0, 0, 9]) == [(4, 5)]
