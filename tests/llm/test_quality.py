@@ -106,5 +106,12 @@ def test_views_exchange_labels():
     assert np.mean((both > 0) == (y > 0))[()] > 0.93
 
 
+def test_exchange_of_the_sample_tables(spark):
+    """What the README says of the exchange on sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    model = cotrain.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.exchanged == (0, 2004)
+
+
 def test_features_of_nothing():
     assert text_stats.features(b"", text_stats.base_counts(b"")) == [0.0] * len(text_stats.FEATURES)
