@@ -3,6 +3,8 @@
 Fixed values: the texts that ``license_scan`` knows by their canonical digests.
 """
 
+from importlib.resources import files
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -24,6 +26,14 @@ _ISC_TAIL = """
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
+
+def _whole(name: str) -> list[tuple[str, str]]:
+    """The text of a file of ``licences``, and the same without what follows its terms."""
+    text = (files("skyloom.llm") / "licences" / f"{name}.txt").read_text("utf-8")
+    terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+    return [(name, text), (name, terms + end), (name, terms)] if end else [(name, text)]
+
+
 KNOWN: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT_BODY),
     ("MIT", "MIT License\n\n" + _MIT_BODY),
@@ -62,4 +72,5 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
+    *(entry for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0") for entry in _whole(name)),
 )

@@ -108,6 +108,23 @@ def test_licence_forms(spark, documents, empty):
     assert license_scan.scan(documents).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Whole licence files, filled anew, in capitals and without their appendix, in Spark and in SQL."""
+    from pathlib import Path
+
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"]
+    texts = {n: (Path(html_extract.__file__).parent / "licences" / f"{n}.txt").read_text() for n in names}
+    rows = [(i, texts[n]) for i, n in enumerate(names)] + [(10 + i, re.sub(r"[ ]*\n(?=\S)", "\n  ", texts[n]).upper()) for i, n in enumerate(names)]
+    rows += [(20, texts["GPL-3.0"].split("END OF TERMS")[0]), (21, texts["GPL-3.0"] + " and more")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in license_scan.scan(documents).collect())
+    whole = {r[0]: r[2] for r in got if r[1] == 0}
+    assert whole == dict(enumerate(names)) | {10 + i: n for i, n in enumerate(names)} | {20: "GPL-3.0"}
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    assert sorted(con.sql(license_scan.scan_sql()).fetchall()) == got
+
+
 def test_pipeline_against_its_operators(spark):
     """run() keeps what the stages' verdicts, taken one after the other, keep."""
     pipeline = importlib.import_module("corpus_pipeline")
