@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,12 +18,16 @@ SPACES = b"\t\n\x0b\x0c\r "
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Only where that is unset on one machine (tests) a temporary folder is made and set; on a
+    cluster, whose executors would not see it, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="skyloom-")
+        path = spark.sparkContext.getCheckpointDir()
+        if not path:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="skyloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -97,3 +102,33 @@ def lower_words(text: bytes) -> list[bytes]:
 
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).collect()[0][0]
+
+
+class Keyed:
+    """The rows of a table so that each can be told apart: by doc_id where no other row has it,
+    otherwise (null or repeated doc_id) by a number of its own, for which those rows are written.
+    """
+
+    def __init__(self, docs: DataFrame, scratch: Scratch) -> None:
+        self.docs = docs
+        repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+        repeated = scratch.write(repeated, "repeated")
+        self.plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(docs.columns)
+        odd = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+        self.odd = scratch.write(odd.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "odd")
+
+    def texts(self) -> DataFrame:
+        """doc_id, row (null where doc_id is enough) and text of every row."""
+        plain = self.plain.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("row"), "text")
+        return plain.unionByName(self.odd.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", F.col("doc.text").alias("text")))
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """The rows, all columns, that *gone* (doc_id, row) does not name."""
+        plain = self.plain.join(gone.where("row is null").select("doc_id"), "doc_id", "left_anti").select(self.docs.columns)
+        odd = self.odd.join(gone.where("row is not null").select("row"), "row", "left_anti").select("doc.*")
+        return plain.unionByName(odd)
+
+
+def even_share(df: DataFrame, total: int, least: int, most: int) -> int:
+    """An even share of *total* for each of the shuffle's tasks, within the bounds."""
+    return max(least, min(most, total // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

@@ -1,34 +1,46 @@
 """Quality classifier by co-training two views of a document.
 
 The content view sees the text (statistics and hashed words), the metadata view what the
-page says about it (source, language, declared length).  Each view's logistic model labels
-the documents of a pool that it is surest of for the other one, over several rounds.  Both
-are then calibrated on labelled rows that no model was fitted on and combined by their
-calibrated log-odds; every document is scored.
+page says about it (source, language, declared length).  In each round both views score every
+document without a label, each hands the other one the labels of its surest documents of
+either class, and what those documents look like in the other view is summed on the executors.
+A view then learns its logistic model again from the labelled sample, with one feature more:
+the log-odds that the labels it was handed give a document.  So the pool is the whole corpus,
+and the sample decides how far a view trusts the other one.  Both are calibrated on labelled
+rows that no model was fitted on and combined by their calibrated log-odds.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log1p
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import text_stats
-from skyloom.llm.common import arrow_map
+from skyloom.llm.common import Scratch
 from skyloom.llm.quality_rules import sample_labels
 
-#: Labelled rows the models are fitted on, and unlabelled rows of the co-training pool, at most.
-MAX_LABELLED, MAX_POOL = 5_000, 5_000
+#: Labelled rows the models are fitted on, at most.
+MAX_LABELLED = 5_000
 #: Hashed words of the content view; hashed values of the metadata view.
 WORD_BUCKETS, META_BUCKETS = 1 << 12, 256
 _DENSE = len(text_stats.FEATURES)
 TEXT_WIDTH, META_WIDTH = WORD_BUCKETS + _DENSE, META_BUCKETS + 1
+#: Statistics of the two views, their first columns; the others are shares.
+DENSE = {"text": _DENSE, "meta": 1}
+WIDTH = {"text": TEXT_WIDTH, "meta": META_WIDTH}
+#: Log-odds are ranked in steps of 1 / RANKS from -LIMIT to LIMIT.
+RANKS, LIMIT = 256, 32
+#: A view's columns as 16-bit numbers and their values as 32-bit floats.
+FEATURES = "tc binary, tv binary, mc binary, mv binary"
 
 Sparse = tuple[list[int], list[float]]
 
@@ -39,30 +51,35 @@ def text_view(text: bytes) -> Sparse:
     n, words = base[0], base[-1]
     if not n:
         return [], []
-    counts: dict[int, int] = {}
-    for w in words:
-        b = _bucket(w)
-        counts[b] = counts.get(b, 0) + 1
-    cols = list(range(_DENSE)) + [_DENSE + b for b in counts]
+    counts = Counter(words)
+    cols = list(range(_DENSE)) + [_DENSE + zlib.crc32(w) % WORD_BUCKETS for w in counts]
     return cols, text_stats.features(text, base) + [c / n for c in counts.values()]
 
 
-_BUCKETS: dict[bytes, int] = {}
+def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> Sparse:
+    """The declared length's logarithm and one-hot hashed source and language (null is a value of its own)."""
+    cols = [1 + zlib.crc32(f"{k}={v}".encode()) % META_BUCKETS for k, v in (("source", source), ("lang", lang))]
+    return [0, *cols], [log1p(max(0, n_chars or 0)) / 10.0, 1.0, 1.0]
 
 
-def _bucket(word: bytes) -> int:
-    b = _BUCKETS.get(word)
-    if b is None:
-        if len(_BUCKETS) >= 300_000:
-            _BUCKETS.clear()
-        b = _BUCKETS[word] = zlib.crc32(word) % WORD_BUCKETS
-    return b
+def _packed(view: Sparse) -> tuple[bytes, bytes]:
+    return np.array(view[0], "<u2").tobytes(), np.array(view[1], "<f4").tobytes()
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> Sparse:
-    """One-hot hashed source and language (null is a value of its own) and the declared length's logarithm."""
-    cols = [zlib.crc32(f"{k}={v}".encode()) % META_BUCKETS for k, v in (("source", source), ("lang", lang))]
-    return [META_BUCKETS, *cols], [log1p(max(0, n_chars or 0)) / 10.0, 1.0, 1.0]
+def featured(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A table of all rows: ``doc`` (the row as it is), doc_id and the packed features of both views."""
+    types = dict(docs.dtypes)
+    meta = [F.col(c).cast(t) if c in types else F.lit(None).cast(t) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
+
+    @F.pandas_udf(FEATURES)
+    def views(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        packed = []
+        for t, s, w, n in zip(text, source, lang, n_chars, strict=True):
+            packed.append((*_packed(text_view(t)), *_packed(meta_view(s, w, None if pd.isna(n) else int(n)))))
+        return pd.DataFrame(packed, columns=["tc", "tv", "mc", "mv"])
+
+    made = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), views(F.coalesce("text", F.lit("")).cast("binary"), *meta).alias("f"))
+    return scratch.write(made.select("doc", "doc_id", "f.*"), "features")
 
 
 @dataclass
@@ -83,13 +100,16 @@ class Rows:
         return Rows(row, col, val, len(views))
 
     @staticmethod
-    def of_arrow(table: pa.Table, cols: str, vals: str) -> Rows:
-        """From list columns, without Python objects."""
-        lists = table.column(cols).combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        col = lists.flatten().to_numpy().astype(np.int32)
-        val = table.column(vals).combine_chunks().flatten().to_numpy()
-        return Rows(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), col, val, len(sizes))
+    def unpack(cols: pa.Array, vals: pa.Array) -> Rows:
+        """From packed columns of any number of rows, without Python objects."""
+        col, sizes = _buffer(cols, "<u2")
+        val, _ = _buffer(vals, "<f4")
+        return Rows(np.repeat(np.arange(len(sizes)), sizes), col.astype(np.intp), val.astype(float), len(sizes))
+
+    def with_column(self, value: np.ndarray, at: int) -> Rows:
+        """With one column more, *at*, that every row has."""
+        every = np.arange(self.n)
+        return Rows(np.concatenate([self.row, every]), np.concatenate([self.col, np.full(self.n, at)]), np.concatenate([self.val, value]), self.n)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -112,7 +132,8 @@ class Logistic:
     bias: float
 
     @staticmethod
-    def fit(x: Rows, y: np.ndarray, width: int, steps: int = 150, l2: float = 1e-3) -> Logistic:
+    def fit(x: Rows, y: np.ndarray, width: int, steps: int = 150, l2: float = 1e-3, near: Logistic | None = None) -> Logistic:
+        """From zero, or in fewer steps from a model that is *near*."""
         if not len(y) or y.min() == y.max():
             p = (y.sum() + 1.0) / (len(y) + 2.0)
             return Logistic(np.zeros(width), log(p / (1 - p)))
@@ -121,8 +142,8 @@ class Logistic:
         scaled = Rows(x.row, x.col, x.val * scale[x.col], x.n)
         # columns have unit mean square; the mean number of columns a row bounds the curvature
         rate = 4.0 / (1.0 + float(np.bincount(scaled.row, scaled.val**2, x.n).mean()))
-        w = v = np.zeros(width)
-        b = u = log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0))
+        w = v = np.zeros(width) if near is None else near.weights / scale
+        b = u = log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0)) if near is None else near.bias
         for k in range(steps):
             g = 1.0 / (1.0 + np.exp(-np.clip(scaled.dot(v) + u, -30, 30))) - y
             w2 = v - rate * (scaled.dot_t(g, width) / len(y) + l2 * v)
@@ -154,102 +175,199 @@ def calibrate(raw: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, f
     return float(a), float(b)
 
 
+def _buffer(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each row has."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, int)
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+@dataclass
+class Handed:
+    """What the documents that one view was handed labels for look like in it: for both classes
+    their number, the sums of all columns and those of the squares of the dense ones."""
+
+    n: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+
+    @staticmethod
+    def none(view: str) -> Handed:
+        return Handed(np.zeros(2), np.zeros((2, WIDTH[view])), np.zeros((2, DENSE[view])))
+
+    @staticmethod
+    def of(view: str, x: Rows, chosen: list[np.ndarray]) -> Handed:
+        """From the rows that are chosen for each class (boolean)."""
+        out, dense = Handed.none(view), x.col < DENSE[view]
+        for c, rows in enumerate(chosen):
+            w = rows.astype(float)
+            out.n[c] = w.sum()
+            out.sums[c] = x.dot_t(w, WIDTH[view])
+            out.squares[c] = np.bincount(x.col[dense], x.val[dense] ** 2 * w[x.row[dense]], DENSE[view])
+        return out
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.n, self.sums.ravel(), self.squares.ravel()])
+
+    @staticmethod
+    def of_flat(view: str, flat: np.ndarray) -> Handed:
+        width = WIDTH[view]
+        return Handed(flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, -1))
+
+    def weights(self, view: str, least: float = 20.0) -> np.ndarray:
+        """Weights whose dot product with a row is its log-odds, a share-weighted log ratio for
+        shares and a difference of class means over the variance for statistics; zeros without
+        labels of both classes."""
+        if not self.n.min() > 0:
+            return np.zeros(WIDTH[view])
+        d = DENSE[view]
+        mean, n = self.sums[:, :d] / self.n[:, None], self.n.sum()
+        spread = self.squares.sum(0) / n - (self.sums[:, :d].sum(0) / n) ** 2
+        shares = self.sums[:, d:]
+        prior = (shares.sum(0) + 1e-3) / (shares.sum() + 1e-3 * shares.shape[1])
+        theta = (shares + least * prior) / (shares.sum(1, keepdims=True) + least)
+        return np.concatenate([(mean[1] - mean[0]) / np.maximum(spread, 1e-6) / d, np.log(theta[1] / theta[0])])
+
+
+@dataclass
+class View:
+    """One view's model: a logistic one over its columns and the log-odds of what it was handed."""
+
+    name: str
+    handed: np.ndarray
+    model: Logistic
+    scale: tuple[float, float]
+
+    def log_odds(self, x: Rows) -> np.ndarray:
+        """Calibrated log-odds."""
+        return self.scale[0] * self.model.raw(x.with_column(x.dot(self.handed), WIDTH[self.name])) + self.scale[1]
+
+    @staticmethod
+    def fit(name: str, x: Rows, y: np.ndarray, handed: Handed, near: View | None = None) -> View:
+        """Every fifth row is held back for the calibration."""
+        weights = handed.weights(name)
+        held = np.arange(len(y)) % 5 == 0
+        own = x.with_column(x.dot(weights), WIDTH[name])
+        model = Logistic.fit(own.take(np.flatnonzero(~held)), y[~held], WIDTH[name] + 1, 150 if near is None else 50, near=near and near.model)
+        return View(name, weights, model, calibrate(model.raw(own.take(np.flatnonzero(held))), y[held]))
+
+
 @dataclass
 class Model:
-    """Both views' models, their calibrations and the prior log-odds."""
+    """Both views, the prior log-odds, and how many labels each was handed of either class in the last round."""
 
-    text: Logistic
-    meta: Logistic
-    text_scale: tuple[float, float]
-    meta_scale: tuple[float, float]
+    text: View
+    meta: View
     prior: float
-    exchanged: tuple[int, int] = (0, 0)
+    handed: dict[str, tuple[int, int]]
 
     def log_odds(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated log-odds of the content view, the metadata view and their combination."""
-        t = self.text_scale[0] * self.text.raw(text) + self.text_scale[1]
-        m = self.meta_scale[0] * self.meta.raw(meta) + self.meta_scale[1]
+        t, m = self.text.log_odds(text), self.meta.log_odds(meta)
         return t, m, t + m - self.prior
 
 
-def cotrain(text: Rows, meta: Rows, label: np.ndarray, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> Model:
-    """Fit on rows with a label of 0 or 1; rows with -1 are the pool.
+OTHER = {"text": "meta", "meta": "text"}
 
-    Every fifth labelled row is held back for calibration.  In a round each view offers the
-    other its surest pool rows: those with a calibrated probability of at least *sure* for
-    a class, at most *share* of the pool for both classes in proportion to the labels.
-    """
-    known = np.flatnonzero(label >= 0)
-    held, own = known[::5], np.setdiff1d(known, known[::5])
-    pool = np.flatnonzero(label < 0)
-    y = label.astype(float)
-    prior_p = (y[known].sum() + 1.0) / (len(known) + 2.0)
-    views = {"text": (text, TEXT_WIDTH), "meta": (meta, META_WIDTH)}
-    given: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-
-    def fit(view: str) -> tuple[Logistic, tuple[float, float]]:
-        x, width = views[view]
-        rows = np.concatenate([own, np.array(sorted(given[view]), int)])
-        target = np.concatenate([y[own], np.array([given[view][i] for i in sorted(given[view])])])
-        model = Logistic.fit(x.take(rows), target, width)
-        return model, calibrate(model.raw(x.take(held)), y[held])
-
-    models = {v: fit(v) for v in views}
-    for _ in range(rounds):
-        changed = False
-        for view, other in (("text", "meta"), ("meta", "text")):
-            fresh = np.array([i for i in pool if i not in given[other]], int)
-            if not len(fresh):
-                continue
-            model, (a, b) = models[view]
-            p = 1.0 / (1.0 + np.exp(-np.clip(a * model.raw(views[view][0].take(fresh)) + b, -30, 30)))
-            for cls, conf, part in ((1.0, p, prior_p), (0.0, 1 - p, 1 - prior_p)):
-                most = int(np.ceil(share * len(pool) * part))
-                best = np.argsort(-conf, kind="stable")[:most]
-                best = best[conf[best] >= sure]
-                given[other].update((int(i), cls) for i in fresh[best])
-                changed |= bool(len(best))
-        if not changed:
-            break
-        models = {v: fit(v) for v in views}
-    prior = log(prior_p / (1 - prior_p))
-    return Model(models["text"][0], models["meta"][0], models["text"][1], models["meta"][1], prior, (len(given["text"]), len(given["meta"])))
 
+def _rows_of(batch: pa.RecordBatch | pa.Table) -> dict[str, Rows]:
+    return {v: Rows.unpack(batch.column(f"{v[0]}c"), batch.column(f"{v[0]}v")) for v in WIDTH}
 
-def _view_columns(docs: DataFrame) -> DataFrame:
-    types = dict(docs.dtypes)
-    meta = [F.col(c).cast(t).alias(c) if c in types else F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *meta)
+
+def _rank(log_odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(log_odds * RANKS), -LIMIT * RANKS, LIMIT * RANKS - 1).astype(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, **options) -> Model:
-    """Co-train on bounded samples: the labelled and the unlabelled documents with the smallest
-    hashes of doc_id.  Their sparse features, not their texts, come to the driver."""
+def surest(ranks: np.ndarray, counts: np.ndarray, share: float, prior: float) -> tuple[int, int]:
+    """(low, high): documents with a rank of at most low are the surest of class 0 and those of at
+    least high of class 1, about *share* of all, in the proportions of the labels, equal ranks
+    together.  Where one class reaches the other's ranks, that is where the view tells no
+    documents apart, it gives up the class it would give more of."""
+    order = np.argsort(ranks)
+    ranks, counts = ranks[order], counts[order]
+    total = counts.sum()
+    low = ranks[min(len(ranks) - 1, np.searchsorted(np.cumsum(counts), share * (1 - prior) * total))]
+    high = ranks[::-1][min(len(ranks) - 1, np.searchsorted(np.cumsum(counts[::-1]), share * prior * total))]
+    if low < high:
+        return int(low), int(high)
+    return (int(low), LIMIT * RANKS) if prior > 0.5 else (-LIMIT * RANKS - 1, int(high))
+
+
+def exchange(pool: DataFrame, views: dict[str, View], share: float, prior: float) -> dict[str, Handed]:
+    """What each view is handed when both have scored all of *pool*, in two passes over it.
+
+    The first one sums the documents of each rank (at most 2 * LIMIT * RANKS of them a view),
+    the second one, by then knowing which ranks are the surest, the statistics of their documents.
+    """
+    shipped = pool.sparkSession.sparkContext.broadcast(views)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {v: np.zeros(2 * LIMIT * RANKS, np.int64) for v in WIDTH}
+        for batch in batches:
+            for v, x in _rows_of(batch).items():
+                counts[v] += np.bincount(_rank(shipped.value[v].log_odds(x)) + LIMIT * RANKS, minlength=2 * LIMIT * RANKS)
+        for v, c in counts.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.string()), pa.array(at - LIMIT * RANKS), pa.array(c[at])], names=["view", "rank", "n"])
+
+    got = pool.mapInArrow(ranked, "view string, rank long, n long").groupBy("view", "rank").agg(F.sum("n").alias("n")).toPandas()
+    if not len(got):
+        return {v: Handed.none(v) for v in WIDTH}
+    bounds = {v: surest(g["rank"].to_numpy(), g["n"].to_numpy(), share, prior) for v, g in got.groupby("view")}
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {v: Handed.none(v).flat() for v in WIDTH}
+        for batch in batches:
+            rows = _rows_of(batch)
+            for giver, x in rows.items():
+                rank, (low, high) = _rank(shipped.value[giver].log_odds(x)), bounds[giver]
+                total[OTHER[giver]] += Handed.of(OTHER[giver], rows[OTHER[giver]], [rank <= low, rank >= high]).flat()
+        for v, flat in total.items():
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(at), pa.string()), pa.array(at), pa.array(flat[at])], names=["view", "at", "value"])
+
+    sums = pool.mapInArrow(summed, "view string, at long, value double").groupBy("view", "at").agg(F.sum("value").alias("value")).toPandas()
+    out = {}
+    for v in WIDTH:
+        flat, mine = Handed.none(v).flat(), sums[sums["view"] == v]
+        flat[mine["at"].to_numpy()] = mine["value"].to_numpy()
+        out[v] = Handed.of_flat(v, flat)
+    return out
+
+
+def fit(table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = 3, share: float = 0.1) -> Model:
+    """Co-train on a table of ``featured``.
+
+    The sparse features of at most *max_labelled* labelled documents, not their texts, come to
+    the driver (those with the smallest hashes of doc_id; of the rows of one doc_id that with
+    the smallest features).  All other documents are the pool.  In round k each view hands over
+    the labels of its surest documents, k * *share* of the pool.
+    """
     chosen = sample_labels(labels, max_labelled)
-    views = _view_columns(docs)
+    few = table.select("doc_id", "tc", "tv", "mc", "mv")
     # at most max_labelled rows of two numbers
-    known = views.join(F.broadcast(chosen), "doc_id")
-    everyone = docs.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    without = everyone.join(labels.where("quality is not null").select("doc_id"), "doc_id", "left_anti")
-    pool = without.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    rows = known.unionByName(views.join(F.broadcast(pool), "doc_id").withColumn("label", F.lit(-1)))
-
-    def sparse(c: dict[str, list]) -> dict[str, list]:
-        t = [text_view(x) for x in c["text"]]
-        m = [meta_view(*x) for x in zip(c["source"], c["lang"], c["n_chars"], strict=True)]
-        return {"doc_id": c["doc_id"], "label": c["label"], "tc": [x[0] for x in t], "tv": [x[1] for x in t], "mc": [x[0] for x in m], "mv": [x[1] for x in m]}
-
-    schema = "doc_id long, label int, tc array<int>, tv array<float>, mc array<int>, mv array<float>"
-    got = arrow_map(rows, sparse, schema).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    label = got.column("label").to_numpy().astype(int)
-    return cotrain(Rows.of_arrow(got, "tc", "tv"), Rows.of_arrow(got, "mc", "mv"), label, **options)
-
-
-def _scores(model: Model, c: dict[str, list]) -> dict[str, np.ndarray]:
-    text = Rows.of([text_view(bytes(x)) for x in c["text"]])
-    meta = Rows.of([meta_view(*x) for x in zip(c["source"], c["lang"], c["n_chars"], strict=True)])
-    t, m, both = (1.0 / (1.0 + np.exp(-np.clip(v, -700, 700))) for v in model.log_odds(text, meta))
-    blank = np.array([not x.split() for x in map(bytes, c["text"])], bool)
+    known = few.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("tc", "tv", "mc", "mv")).alias("f"))
+    sample = known.select("doc_id", "label", "f.*").orderBy("doc_id").toArrow()
+    y = sample.column("label").to_numpy().astype(float)
+    rows = _rows_of(sample)
+    prior_p = float((y.sum() + 1.0) / (len(y) + 2.0))
+    views = {v: View.fit(v, rows[v], y, Handed.none(v)) for v in WIDTH}
+    handed = {v: Handed.none(v) for v in WIDTH}
+    pool = few.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").select("tc", "tv", "mc", "mv")
+    for k in range(1, rounds + 1) if 0 < y.sum() < len(y) else ():
+        handed = exchange(pool, views, k * share, prior_p)
+        views = {v: View.fit(v, rows[v], y, handed[v], views[v]) for v in WIDTH}
+    return Model(views["text"], views["meta"], log(prior_p / (1 - prior_p)), {v: (int(h.n[0]), int(h.n[1])) for v, h in handed.items()})
+
+
+def _scores(model: Model, rows: dict[str, Rows]) -> dict[str, np.ndarray]:
+    t, m, both = (1.0 / (1.0 + np.exp(-np.clip(v, -700, 700))) for v in model.log_odds(rows["text"], rows["meta"]))
+    blank = np.bincount(rows["text"].row, minlength=rows["text"].n) == 0
     return {"text_score": t, "meta_score": m, "score": np.where(blank, 0.0, both)}
 
 
@@ -260,25 +378,28 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     a value like any other.  Without labels every other document scores one half and is kept;
     repeated rows each get a row.
     """
-    model = fit(docs, labels, **options)
-    schema = "doc_id long, text_score double, meta_score double, score double"
-    scored = arrow_map(_view_columns(docs), lambda c: {"doc_id": c["doc_id"]} | _scores(model, c), schema)
+    table = featured(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "source", "lang", "n_chars")]), Scratch(docs.sparkSession, "cotrain")).drop("doc")
+    model = fit(table, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(model, _rows_of(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, scores.values())], names=["doc_id", *scores])
+
+    scored = table.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
     return scored.withColumn("kept", F.col("score") >= threshold)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of *docs*, all columns, that the classifier keeps, decided row by row in one pass."""
-    model = fit(docs, labels, **options)
+    """The rows of *docs*, all columns, that the classifier keeps, decided row by row."""
+    table = featured(docs, Scratch(docs.sparkSession, "cotrain"))
+    return table.where(_keep(fit(table, labels, **options), threshold)).select("doc.*")
+
 
+def _keep(model: Model, threshold: float) -> Column:
     @F.pandas_udf("boolean")
-    def keep(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.Series:
-        kept = []
-        for at in range(0, len(text), 512):  # a few documents' features at a time
-            n = [None if pd.isna(v) else int(v) for v in n_chars[at : at + 512]]
-            c = {"text": list(text[at : at + 512]), "source": list(source[at : at + 512]), "lang": list(lang[at : at + 512]), "n_chars": n}
-            kept.append(_scores(model, c)["score"] >= threshold)
-        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
+    def keep(tc: pd.Series, tv: pd.Series, mc: pd.Series, mv: pd.Series) -> pd.Series:
+        packed = dict(zip(("tc", "tv", "mc", "mv"), (pa.array(x, pa.binary()) for x in (tc, tv, mc, mv)), strict=True))
+        return pd.Series(_scores(model, {v: Rows.unpack(packed[f"{v[0]}c"], packed[f"{v[0]}v"]) for v in WIDTH})["score"] >= threshold)
 
-    types = dict(docs.dtypes)
-    meta = [F.col(c).cast(t) if c in types else F.lit(None).cast(t) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    return docs.where(keep(F.coalesce("text", F.lit("")).cast("binary"), *meta))
+    return keep("tc", "tv", "mc", "mv")

@@ -61,7 +61,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> gbdt.F
     chosen = sample_labels(labels, bound)
     # chosen has at most *bound* rows of two numbers, so a broadcast is bounded too
     rows = statistics(columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"), ("label",))
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").select("features", "label").collect()
+    # of the rows of one doc_id that with the smallest statistics, whatever the partitions
+    rows = rows.groupBy("doc_id").agg(F.min("features").alias("features"), F.first("label").alias("label")).orderBy("doc_id").select("features", "label").collect()
     x = np.array([r[0] for r in rows], float).reshape(-1, len(text_stats.FEATURES))
     y = np.array([r[1] for r in rows], float)
     monotone = np.array([-1 if f in text_stats.FALLING else 0 for f in text_stats.FEATURES])

@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Scratch, arrow_map, lower_words, text_bytes
+from skyloom.llm.common import Keyed, Scratch, arrow_map, lower_words, text_bytes
 from skyloom.llm.components import components
-from skyloom.llm.similar_texts import similar_links
+from skyloom.llm.similar_texts import similar_links, sketch, text_key
 
 #: Bits of a block; 16 blocks of 4 bits.
 BLOCK = 4
@@ -58,14 +58,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null counts as empty."""
+def fingerprints(texts: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, row and fp (the fingerprint as a signed long) of every row; null counts as empty."""
 
     def rows(c: dict[str, list]) -> dict[str, list]:
         raw = np.array([fingerprint(t, words) for t in c["text"]], np.uint64)
-        return {"doc_id": c["doc_id"], "fp": raw.view(np.int64)}
+        return {"doc_id": c["doc_id"], "row": c["row"], "fp": raw.view(np.int64)}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes()), rows, "doc_id long, fp long")
+    return arrow_map(texts.select("doc_id", "row", text_bytes()), rows, "doc_id long, row long, fp long")
 
 
 def _rings(fp: Column, blocks: range) -> list[Column]:
@@ -231,33 +231,63 @@ def links(points: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(run, "fp long, other long").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int | None = None) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id for every row of *docs*.
+def _sketched(texts: DataFrame, words: int, shingle: int) -> DataFrame:
+    """doc_id, row, fp and what ``similar_links`` asks for, of every row, in one reading of the texts."""
 
-    With a *radius*, documents are linked when their fingerprints differ in at most so many bits.
-    Without one, those within 3 bits are, and also those whose sets of 5-word shingles have a
-    Jaccard similarity of 0.8 or more (``SIMILARITY``, ``SHINGLE``); ``component_id`` is the smallest doc_id reachable, itself included.  A null or empty text
-    has fingerprint zero and is linked like any other.  Null doc_ids keep their row and never
-    are a component's id unless it has no other.  Repeated rows each get a row.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.write(fingerprints(docs, words), "prints")
-    points = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    def rows(c: dict[str, list]) -> dict[str, list]:
+        raw = np.array([fingerprint(t, words) for t in c["text"]], np.uint64)
+        sketches = [sketch(t, shingle) for t in c["text"]]
+        named = dict(zip(("node", "n", "buckets"), zip(*sketches, strict=True), strict=True)) if sketches else {"node": [], "n": [], "buckets": []}
+        return {"doc_id": c["doc_id"], "row": c["row"], "fp": raw.view(np.int64), "key": [text_key(t) for t in c["text"]]} | named
+
+    return arrow_map(texts.select("doc_id", "row", text_bytes()), rows, "doc_id long, row long, fp long, key long, node long, n long, buckets array<long>")
+
+
+def _grouped(texts: DataFrame, words: int, radius: int | None, scratch: Scratch) -> DataFrame:
+    """doc_id, row, fp, fingerprint, component_id and stays for rows of doc_id, row and text."""
+    if radius is None:
+        prints = scratch.write(_sketched(texts, words, SHINGLE), "prints")
+    else:
+        prints = scratch.write(fingerprints(texts, words), "prints")
+    # the row that stays is the smallest (doc_id is null, doc_id, row)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    points = scratch.write(prints.groupBy("fp").agg(F.min(order).alias("first")), "points")
     edges = scratch.write(links(points.select("fp"), 3 if radius is None else radius), "links").select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if radius is None:
-        edges = similar_links(docs, edges, lambda t: fingerprint(t, words), SIMILARITY, SHINGLE, scratch)
+        edges = similar_links(texts, prints, edges, SIMILARITY, SHINGLE, scratch)
     roots = components(edges, scratch)
     at = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     at = scratch.write(at, "roots")
-    first = at.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_point = at.join(first, "root").select("fp", "component_id")
-    return prints.join(by_point, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = at.groupBy("root").agg(F.min("first").alias("keep"))
+    by_point = at.join(first, "root").select("fp", "keep")
+    return prints.join(by_point, "fp").select(
+        "doc_id",
+        "row",
+        "fp",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("keep.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & F.col("row").eqNullSafe(F.col("keep.row"))).alias("stays"),
+    )
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int | None = None) -> DataFrame:
-    """The rows of *docs*, all columns, of one document a component: that with its smallest doc_id.
+def near_groups(docs: DataFrame, words: int = 3, radius: int | None = None) -> DataFrame:
+    """doc_id, fp, fingerprint (16 hex digits), component_id for every row of *docs*.
 
-    Rows without doc_id stay; so do all rows of a doc_id that is a component's id.
+    With a *radius*, documents are linked when their fingerprints differ in at most so many bits.
+    Without one, those within 3 bits are, and also those whose sets of 5-word shingles have a
+    Jaccard similarity of 0.8 or more (``SIMILARITY``, ``SHINGLE``); ``component_id`` is the
+    smallest doc_id reachable, itself included.  A null or empty text has fingerprint zero and
+    is linked like any other.  Null doc_ids keep their row and never are a component's id unless
+    it has no other.  Repeated rows each get a row.
     """
-    gone = near_groups(docs, words, radius).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    return docs.join(gone.where("not stays"), "doc_id", "left_anti")
+    texts = docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("row"), "text")
+    return _grouped(texts, words, radius, Scratch(docs.sparkSession, "simhash")).drop("row", "stays")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 3, radius: int | None = None) -> DataFrame:
+    """The rows of *docs*, all columns, of one row a component: that with its smallest doc_id; one
+    row also of those that have no doc_id or share one.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    keyed = Keyed(docs, scratch)
+    return keyed.without(_grouped(keyed.texts(), words, radius, scratch).where("not stays").select("doc_id", "row"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from skyloom.llm import components, exact_dedup, simhash_dedup
+from skyloom.llm import components, exact_dedup, simhash_dedup, similar_texts
 from skyloom.llm.common import Scratch
 
 SF = "/root/testdata/sf0.01"
@@ -44,25 +44,36 @@ def check_exact(rows, got):
 def test_exact_groups_match_brute_force(spark, documents, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_exact([tuple(r) for r in docs.select("doc_id", "text").collect()], exact_dedup.exact_groups(docs).collect())
-    check_exact([tuple(r) for r in documents.select("doc_id", "text").collect()], exact_dedup.exact_groups(documents, first=2, wider=2).collect())
+    check_exact([tuple(r) for r in documents.select("doc_id", "text").collect()], exact_dedup.exact_groups(documents, digit=1, most_bytes=50, most_texts=2).collect())
+    # every group is split again until it has ended
+    check_exact([tuple(r) for r in docs.select("doc_id", "text").collect()], exact_dedup.exact_groups(docs, digit=2, most_bytes=500, most_texts=2).collect())
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_drop_copies(documents):
+def test_drop_copies(spark, documents, empty):
     out = exact_dedup.drop_copies(documents)
     assert out.columns == documents.columns
-    ids = sorted(r.doc_id for r in out.where("doc_id is not null").collect())
     # 1 and 2 have equal texts of one length, 4 to 6 are empty and 6 has the most code points;
-    # the row without doc_id is the longest of its class
-    assert ids == [1, 3, 6, 8, 9, 10]
+    # of the three rows of 7's text that without doc_id is the longest
+    assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, i) for i in (1, 3, 6, 8, 9, 10)] + [(True, None)]
+    assert exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_no_copy_survives_without_an_id_of_its_own(spark):
+    rows = [(None, "a b"), (None, "a b"), (None, "ab"), (5, "ab"), (6, "ab zz"), (6, "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in exact_dedup.drop_copies(docs).collect()) == ["a b", "ab zz"]
+    near = simhash_dedup.drop_near_copies(spark.createDataFrame([(None, "one two three"), (None, "one two three"), (7, "one two three"), (7, "ONE two three"), (7, "four five")], "doc_id long, text string"))
+    assert sorted(r.text.lower() for r in near.collect()) == ["four five", "one two three"]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=12).map(lambda b: b.translate(bytes(97 + i % 2 for i in range(256)))), max_size=40))
 def test_radix_classes(texts):
-    got = exact_dedup.radix_classes(texts, first=1, wider=2)
-    assert sorted(i for part in got for i in part) == list(range(len(texts)))
-    assert sorted(sorted(p) for p in got) == sorted([i for i, t in enumerate(texts) if t == u] for u in set(texts))
+    for digit in (1, 3):
+        got = exact_dedup.radix_classes(texts, digit)
+        assert sorted(i for part in got for i in part) == list(range(len(texts)))
+        assert sorted(sorted(p) for p in got) == sorted([i for i, t in enumerate(texts) if t == u] for u in set(texts))
 
 
 def brute_fingerprint(text, k=3):
@@ -97,7 +108,7 @@ def brute_components(fps, ids, radius):
 
 @pytest.mark.parametrize("radius", [3, 5])
 def test_near_groups_match_brute_force(spark, documents, empty, radius):
-    few = spark.read.parquet("/root/testdata/check_h/documents.parquet").where("doc_id < 1500").select("doc_id", "text")
+    few = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     for docs in (few, documents.select("doc_id", "text")):
         rows = docs.collect()
         got = simhash_dedup.near_groups(docs, radius=radius).collect()
@@ -139,9 +150,46 @@ def test_components_of_paths_stars_and_loops(spark):
 
 
 def test_drop_near_copies(documents):
+    """One row of each component stays, whatever its doc_id."""
     out = simhash_dedup.drop_near_copies(documents)
     assert out.columns == documents.columns
-    assert {4, 6}.isdisjoint(r.doc_id for r in out.collect()) or {5, 6}.isdisjoint(r.doc_id for r in out.collect())
+    # the texts of 1 and 2 have the same words, 3 and 10 nearly so; 4 to 6 are empty
+    assert sorted(r.doc_id for r in out.collect()) == [1, 4, 7, 8, 9]
+
+
+def test_block_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.4]), rng.integers(0, 1 << 60, 60).astype(np.uint64), base)) for _ in range(80)]
+    roots = np.array([100 + i // 3 for i in range(80)])
+    for first in (np.ones(80, bool), np.arange(80) % 2 == 0):
+        second = np.ones(80, bool) if first.all() else ~first
+        parent = {int(r): int(r) for r in roots}
+
+        def top(r, parent=parent):
+            return r if parent[r] == r else top(parent[r])
+
+        for i in np.flatnonzero(first):
+            for j in np.flatnonzero(second):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+                    a, b = sorted((top(int(roots[i])), top(int(roots[j]))))
+                    parent[b] = a
+        got = similar_texts.block_links(roots, sets, first, second, 0.8)
+        assert 0 < len(got) < len(set(roots.tolist()))
+        own = {int(r): int(r) for r in roots}
+        for a, b in got:
+            x, y = sorted((top(a, own), top(b, own)))
+            own[y] = x
+        assert {r: top(r, own) for r in own} == {r: top(r) for r in parent}
+
+
+def test_similar_texts_in_small_blocks(spark, monkeypatch):
+    """Blocks of a few shingles link what one block links."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(docs).collect()}
+    monkeypatch.setattr(similar_texts, "even_share", lambda *a: 400)
+    assert {r.doc_id: r.component_id for r in simhash_dedup.near_groups(docs).collect()} == want
 
 
 def test_pipeline_stage_joins_similar_texts(spark):

@@ -4,7 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 from skyloom.llm import cotrain, gbdt, quality_rules, text_stats
+from skyloom.llm.common import Scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -93,24 +96,60 @@ def test_filters_agree_with_verdicts(spark):
         assert {r.doc_id for r in module.filter_documents(docs, labels).collect()} == want
 
 
-def test_views_exchange_labels():
-    rng = np.random.default_rng(3)
-    y = rng.integers(0, 2, 400)
-    label = np.where(np.arange(400) < 60, y, -1)
-    noisy = lambda p: np.where(rng.random(400) < p, 1 - y, y)
-    text = cotrain.Rows.of([([int(v), 2], [1.0, 1.0]) for v in noisy(0.02)])
-    meta = cotrain.Rows.of([([int(v)], [1.0]) for v in noisy(0.05)])
-    model = cotrain.cotrain(text, meta, label, sure=0.8)
-    assert sum(model.exchanged) > 0
-    both = model.log_odds(text, meta)[2]
-    assert np.mean((both > 0) == (y > 0))[()] > 0.93
-
-
-def test_exchange_of_the_sample_tables(spark):
-    """What the README says of the exchange on sf0.1."""
+def test_exchange_on_the_sample_tables(spark):
+    """Both views hand labels of both classes over on sf0.1, from the whole pool, and each round more."""
     sf = "/root/testdata/sf0.1"
-    model = cotrain.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    assert model.exchanged == (0, 2004)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    table = cotrain.featured(docs, Scratch(spark, "t"))
+    pool = docs.count() - min(labels.where("quality is not null").select("doc_id").distinct().count(), cotrain.MAX_LABELLED)
+    for rounds in (1, 3):
+        model = cotrain.fit(table, labels, rounds=rounds)
+        for handed in model.handed.values():
+            assert min(handed) > 0 and 0.08 * rounds * pool < sum(handed) < 0.25 * rounds * pool
+
+
+def made_up(spark, good, bad, source_of):
+    """Documents with words by class and a source by class, the first 80 with labels."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(600):
+        y = int(rng.random() < 0.5)
+        text = " ".join(rng.choice(good if y else bad, 30))
+        rows.append((i, text, "en", source_of(rng, y), 100))
+        if i < 80:
+            labels.append((i, y, 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {r[0]: r[1] for r in labels}
+
+
+def test_a_sure_view_teaches_the_other_one(spark):
+    """What was handed over tells the classes apart: each view's weights of the handed labels are positive
+    and words and sources that no labelled document has are learned from the other view."""
+    common, good, bad = [f"c{i}" for i in range(30)], [f"g{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    docs, labels, _ = made_up(spark, good + common, bad + common, lambda rng, y: f"s{rng.integers(4) + 4 * y}")
+    table = cotrain.featured(docs, Scratch(spark, "t"))
+    model = cotrain.fit(table, labels)
+    assert model.text.model.weights[-1] > 0 and model.meta.model.weights[-1] > 0
+    assert min(min(h) for h in model.handed.values()) > 20
+    for view, x in (("text", [cotrain.text_view(" ".join(w).encode()) for w in (good, bad)]), ("meta", [cotrain.meta_view(f"s{k}", "en", 100) for k in (6, 2)])):
+        cols, vals = zip(*(cotrain._packed(v) for v in x), strict=True)
+        odds = getattr(model, view).log_odds(cotrain.Rows.unpack(pa.array(cols), pa.array(vals)))
+        assert odds[0] > 0 > odds[1]
+
+
+def test_surest_ranks():
+    ranks, counts = np.array([-5, 0, 3, 9]), np.array([10, 30, 40, 20])
+    assert cotrain.surest(ranks, counts, 0.3, 0.5) == (0, 9)  # equal ranks go together: 40 for 15 asked
+    assert cotrain.surest(ranks, counts, 0.1, 0.5) == (-5, 9)
+    low, high = cotrain.surest(np.array([7]), np.array([5]), 0.1, 0.8)  # one rank: nothing tells class 1 apart
+    assert low == 7 and high > 7
+
+
+def test_rows_of_one_id_do_not_depend_on_partitions(spark, documents, labels):
+    two = documents.unionByName(documents.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" other words here"))))
+    models = [cotrain.fit(cotrain.featured(two.repartition(n), Scratch(spark, "t")), labels) for n in (1, 5)]
+    assert np.allclose(models[0].text.model.weights, models[1].text.model.weights)
+    forests = [quality_rules.fit(two.repartition(n), labels) for n in (1, 5)]
+    assert np.array_equal(forests[0].threshold, forests[1].threshold)
 
 
 def test_features_of_nothing():
