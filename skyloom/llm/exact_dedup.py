@@ -1,11 +1,13 @@
 """Exact deduplication by distributed MSD radix partitioning.
 
 Documents are split by successive bytes of their text without white space: by a digit of
-DIGIT bytes at the first place where the texts of a group differ.  A group that is more than an
-even share of a task is split again; the bytes that all its texts have in common are skipped, so
-every round tells texts apart, and a group whose texts are all the same has ended.  Any other
-group goes as one to a task, which splits it further, byte by byte, until its parts are single
-texts or have ended.  Equality is decided on the bytes themselves, never on a digest.
+DIGIT bytes at the first place where the texts of a group differ.  A group that is too large for
+one task is split again; the bytes that all its texts have in common are skipped, so every
+round tells texts apart, and a group whose texts are all the same has ended.  (A round's digit is
+twice as wide as the one before, so that a large group of long texts that differ here and there
+takes a number of rounds that grows with the logarithm of their length.)  Any other group goes as
+one to a task, which splits it further, byte by byte, until its parts are single texts or have
+ended.  Equality is decided on the bytes themselves, never on a digest.
 
 Copies that meet in one Arrow batch are collapsed first by the same recursion, so a text
 that a third of all rows share goes on as one representative for each batch.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import SPACES, Keyed, Scratch, arrow_map, even_share, text_bytes
+from skyloom.llm.common import SPACES, Keyed, Scratch, arrow_map, text_bytes
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: Bytes of a digit, and the bytes and texts of the largest group that goes to one task.
@@ -124,18 +126,17 @@ def _leaves(active: DataFrame) -> DataFrame:
 def _classes(reps: DataFrame, scratch: Scratch, digit: int, most_bytes: int, most_texts: int) -> DataFrame:
     """(rep, class) for every representative whose text equals that of another one.
 
-    A round sums the bytes and texts of each digit's group.  The groups above an even share of
-    a task, at most as many as there are shares, are joined back; their texts go to a table for
-    the next round, all the others through one shuffle to the tasks that finish them.
+    A round sums the bytes and texts of each digit's group.  The groups above the bounds, at most
+    all bytes over *most_bytes* and all texts over *most_texts* of them, are joined back; their
+    texts go to a table for the next round, all the others through one shuffle to the tasks that
+    finish them.
     """
-    total, texts = reps.agg(F.coalesce(F.sum(F.octet_length("rest")), F.lit(0)), F.count(F.lit(1))).first()
-    limit, number = even_share(reps, total, min(most_bytes, 1 << 16), most_bytes), even_share(reps, texts, min(most_texts, 256), most_texts)
     # what all texts of a group have in common is skipped; at first that is not known
     active, k, found = reps.select("rep", "rest", F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("at")), 0, []
     while True:
-        cut = active.withColumn("digit", F.expr(f"substring(rest, cast(at as int) + 1, {digit})"))
+        cut = active.withColumn("digit", F.expr(f"substring(rest, cast(at as int) + 1, {min(digit << k, 1 << 30)})"))
         groups = cut.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("rest")).alias("size"), F.min("rep").alias("next"))
-        large = scratch.write(groups.where((F.col("n") > 1) & ((F.col("n") > number) | (F.col("size") > limit))).select("grp", "digit", "next"), f"large{k}")
+        large = scratch.write(groups.where((F.col("n") > 1) & ((F.col("n") > most_texts) | (F.col("size") > most_bytes))).select("grp", "digit", "next"), f"large{k}")
         found.append(scratch.write(_leaves(cut.join(large, ["grp", "digit"], "left_anti")), f"classes{k}"))
         inside = scratch.write(cut.join(large, ["grp", "digit"]).select("rep", "rest", F.col("next").alias("grp")), f"inside{k}")
         ends = scratch.write(_ends("grp", inside), f"ends{k}")
@@ -144,7 +145,7 @@ def _classes(reps: DataFrame, scratch: Scratch, digit: int, most_bytes: int, mos
         scratch.drop(f"large{k}", f"inside{k}", f"ends{k}", f"active{k}")
         if active.isEmpty():
             break
-        k += 1
+        k += 1  # the texts' length bounds the rounds, since each tells a group's texts apart
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
