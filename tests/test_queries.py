@@ -47,3 +47,16 @@ def test_entry_module(spark):
     assert entry.entry(spark).count() == 144
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_entry_without_the_text_package(monkeypatch):
+    """A library that only the text queries need may be missing; the others stay."""
+    import importlib
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("skyloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "skyloom.llm", None)
+    entry = importlib.import_module("__spark_entry__")
+    with pytest.warns(UserWarning, match="text queries"):
+        assert set(entry.queries()) == set(QUERIES)
