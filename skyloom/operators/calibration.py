@@ -38,6 +38,22 @@ def relative_gain(sums: DataFrame, keys: list[str], det: str, previous: Column,
     return sums.select(*keys, det, F.coalesce((top - half) / d, previous).alias("gain"))
 
 
+def accepted(stats: DataFrame, scan: list[str], least_good: float, most_z: float) -> DataFrame:
+    """Keys of the detector-scans that neither cut rejects: too few good samples, or a chi-square too far off or none."""
+    return stats.where((F.col("good_fraction") >= least_good) & ~F.isnan("chisq_z") & (F.abs("chisq_z") <= most_z)).select(*scan)
+
+
+def selection_window(parameters: dict, iteration: int, noise_drawn: bool) -> tuple[bool, float, float]:
+    """Whether the cuts are active in an iteration, largest |z| and least good fraction.
+
+    They are where they are enabled, the iteration lies in their window (both ends included) and
+    the correlated noise, where they wait for it, has been drawn.
+    """
+    first, last = parameters.get("first", 1), parameters.get("last", float("inf"))
+    active = parameters.get("enabled", False) and first <= iteration <= last and (noise_drawn or not parameters.get("needs_noise", True))
+    return active, parameters.get("most_z", 1e4), parameters.get("least_good", 0.1)
+
+
 def selection_counts(stats: DataFrame, keys: list[str], least_good: float, most_z: float) -> DataFrame:
     """Detector-scans present, accepted and rejected by each cut, with percentiles of |z|."""
     low = F.col("good_fraction") < least_good

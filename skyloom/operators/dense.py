@@ -52,13 +52,24 @@ def lu_solve(f: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def solve_rows(sums: DataFrame, key: str, n: int) -> DataFrame:
+def lu_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of many systems by LU with pivoting, and which were solved; 0 for a singular one."""
+    x, ok = np.zeros_like(b), np.zeros(len(b), bool)
+    for k in range(len(b)):
+        f, order, ok[k] = lu(a[k])
+        if ok[k]:
+            x[k] = lu_solve(f, order, b[k])
+    return x, ok
+
+
+def solve_rows(sums: DataFrame, key: str, n: int, method: str = "cholesky") -> DataFrame:
     """Solve the packed systems m{i}{j}, y{i} of every row; an Arrow batch at a time, no shuffle."""
+    solver = {"cholesky": cholesky_solve, "lu": lu_rows}[method]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a = np.stack([np.stack([pdf[f"m{min(i, j)}{max(i, j)}"].to_numpy(float) for j in range(n)], 1) for i in range(n)], 1)
-            x, ok = cholesky_solve(a, np.stack([pdf[f"y{i}"].to_numpy(float) for i in range(n)], 1))
+            x, ok = solver(a, np.stack([pdf[f"y{i}"].to_numpy(float) for i in range(n)], 1))
             yield pd.DataFrame({key: pdf[key], **{f"c{i}": x[:, i] for i in range(n)}, "solved": ok})
 
     types = dict(sums.dtypes)

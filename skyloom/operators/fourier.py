@@ -74,29 +74,6 @@ def sigma_of_psd(x: np.ndarray, fsamp: float, width: float, safety: float = 0.95
     return float(np.sqrt(means.min()) * safety)
 
 
-def correlated_noise(
-    x: np.ndarray, mask: np.ndarray, sigma0: float, corr: Callable[[np.ndarray], np.ndarray], fsamp: float, eta1: np.ndarray | None = None, eta2: np.ndarray | None = None, tolerance: float = 1e-10, most: int = 500
-) -> np.ndarray:
-    """Draw of correlated noise given a timeline with gaps, or its mean where no draws are supplied.
-
-    Solves (C^-1 + M / sigma0^2) n = M x / sigma0^2 + fluctuations by conjugate gradients, with
-    the gap-free operator, diagonal in Fourier space, as preconditioner.
-    """
-    n = len(x)
-    f = np.fft.rfftfreq(2 * n, 1 / fsamp)
-    c = corr(f)
-    inv = np.where(c > 0, 1 / np.where(c > 0, c, 1.0), 0.0)
-    c_inv = lambda v: irfft_mirrored(inv * rfft_mirrored(v), n)
-    apply = lambda v: c_inv(v) + mask * v / sigma0**2
-    condition = lambda v: irfft_mirrored(rfft_mirrored(v) / (inv + 1 / sigma0**2), n)
-    b = mask * x / sigma0**2
-    if eta1 is not None:
-        b = b + mask * eta1 / sigma0
-    if eta2 is not None:
-        b = b + irfft_mirrored(np.sqrt(inv) * rfft_mirrored(eta2), n)
-    return conjugate_gradient(apply, b, condition, tolerance, most)[0]
-
-
 def conjugate_gradient(
     apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, condition: Callable[[np.ndarray], np.ndarray] | None = None, tolerance: float = 1e-10, most: int = 200, x0: np.ndarray | None = None
 ) -> tuple[np.ndarray, int]:
@@ -125,26 +102,6 @@ def invert_cdf(log_p: np.ndarray, grid: np.ndarray, u: float) -> float:
     return float(np.interp(u, c / c[-1], grid))
 
 
-def whittle(p: np.ndarray, model: np.ndarray) -> float:
-    """Log-likelihood of periodogram values under a model spectrum."""
-    return float(-np.sum(p / model + np.log(model)))
-
-
-def sample_noise_parameters(
-    x: np.ndarray, fsamp: float, sigma0: float, fknee: float, alpha: float, draws: np.ndarray, bounds: tuple[tuple[float, float], tuple[float, float]] = ((1e-3, 10.0), (-3.0, -0.3)), grid: int = 150
-) -> tuple[float, float]:
-    """Alternating draws of the knee (log grid) and slope (linear grid); one uniform of *draws* a step."""
-    f, p = periodogram(x - x.mean(), fsamp)
-    f, p = f[1:], p[1:]
-    knees, slopes = np.geomspace(*bounds[0], grid), np.linspace(*bounds[1], grid)
-    for k, u in enumerate(draws):
-        if k % 2 == 0:
-            fknee = invert_cdf(np.array([whittle(p, oof(f, sigma0, g, alpha)) for g in knees]), knees, u)
-        else:
-            alpha = invert_cdf(np.array([whittle(p, oof(f, sigma0, fknee, g)) for g in slopes]), slopes, u)
-    return fknee, alpha
-
-
 def temporal_gain(a: np.ndarray, b: np.ndarray, prior: np.ndarray, tolerance: float = 1e-10, most: int = 200) -> np.ndarray:
     """(G^-1 + diag a) delta = b for a detector's scans in order, the mean removed; 0 for one scan.
 
