@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,25 @@ def ang2pix(nside: int, theta: Column, phi: Column) -> Column:
     return F.when(za <= 2.0 / 3.0, belt).when(z > 0, north).otherwise(south).cast("long")
 
 
+def with_pixel(df: DataFrame, nside: int, theta: Column, phi: Column, out: str = "pix") -> DataFrame:
+    """*df* with the pixel that holds the direction: ``ang2pix`` in steps, so that what several
+    branches share is computed once a row."""
+    n, own = float(nside), df.columns
+    turn = phi * (2.0 / pi)
+    step = df.withColumn("_t", theta).withColumn("_z", F.cos("_t")).withColumn("_q", turn * 0.25).withColumn("_tt", (F.col("_q") - F.floor("_q")) * 4.0)
+    z, tt, za = F.col("_z"), F.col("_tt"), F.abs("_z")
+    reach = F.when(za < 0.99, F.sqrt((F.lit(1.0) - za) * 3.0)).otherwise(F.sin("_t") / F.sqrt((za + 1.0) / 3.0)) * n
+    step = step.withColumn("_base", (tt + 0.5) * n).withColumn("_slope", z * (0.75 * n)).withColumn("_reach", reach).withColumn("_tp", tt - F.floor(tt))
+    step = step.withColumn("_jp", F.floor(F.col("_base") - F.col("_slope"))).withColumn("_jm", F.floor(F.col("_base") + F.col("_slope")))
+    step = step.withColumn("_cap", F.floor(F.col("_tp") * F.col("_reach")) + F.floor((F.lit(1.0) - F.col("_tp")) * F.col("_reach")) + 1)
+    jp, jm, cap = F.col("_jp"), F.col("_jm"), F.col("_cap")
+    ring = jp - jm + (nside + 1)
+    along = F.pmod(F.shiftright(jp + jm - nside + 2 - ring.bitwiseAND(F.lit(1)), 1), F.lit(4 * nside))
+    step = step.withColumn("_round", F.floor(tt * cap) % (cap * 4)).withColumn("_belt", (ring - 1) * (4 * nside) + along + 2 * nside * (nside - 1))
+    found = F.when(za <= 2.0 / 3.0, F.col("_belt")).when(z > 0, cap * 2 * (cap - 1) + F.col("_round")).otherwise(F.lit(12 * nside * nside) - cap * 2 * (cap + 1) + F.col("_round"))
+    return step.select(*own, found.cast("long").alias(out))
+
+
 def _ring_of(nside: int, pix: Column) -> tuple[Column, Column, Column, Column]:
     """Zone test columns: in the north cap, in the belt; and cap rings counted from each pole."""
     npix, cap = 12 * nside * nside, 2 * nside * (nside - 1)
@@ -80,6 +99,15 @@ def regrade(nside_in: int, nside_out: int, pix: Column) -> Column:
     return ang2pix(nside_out, F.acos(pix2z(nside_in, pix)), pix2phi(nside_in, pix))
 
 
+def with_coarser(df: DataFrame, nside_in: int, nside_out: int) -> DataFrame:
+    """*df* with ``pix`` replaced by the pixel of another resolution that holds its centre."""
+    if nside_in == nside_out:
+        return df
+    columns = df.columns
+    centres = df.withColumn("_theta", F.acos(pix2z(nside_in, F.col("pix")))).withColumn("_phi", pix2phi(nside_in, F.col("pix")))
+    return with_pixel(centres, nside_out, F.col("_theta"), F.col("_phi"), "_pix").select(*(F.col("_pix").alias("pix") if c == "pix" else c for c in columns))
+
+
 def psi_of_bin(code: Column, npsi: int) -> Column:
     return code.cast("double") * (2.0 * pi / npsi)
 
@@ -127,3 +155,20 @@ def quaternion_angles(q: tuple[Column, ...]) -> tuple[Column, Column, Column]:
     theta = F.atan2(F.sqrt(x * x + y * y), F.sqrt(w * w + z * z)) * 2.0
     total, less = F.atan2(z, w), F.atan2(-x, y)
     return theta, total + less, total - less
+
+
+def celestial(az: Column, el: Column, latitude: float, sidereal: Column) -> tuple[Column, Column]:
+    """(declination, right ascension) of a horizontal direction seen from a latitude at a local sidereal time.
+
+    Azimuth counts from north through east.  Refraction, precession and nutation are left out.
+    """
+    lat = F.lit(latitude)
+    dec = F.asin(F.sin(lat) * F.sin(el) + F.cos(lat) * F.cos(el) * F.cos(az))
+    hour = F.atan2(-(F.cos(el) * F.sin(az)), F.sin(el) * F.cos(lat) - F.cos(el) * F.sin(lat) * F.cos(az))
+    return dec, sidereal - hour
+
+
+def sidereal_time(seconds: Column, longitude: float) -> Column:
+    """Local angle of the Earth's rotation at Unix seconds (UT1 taken as UTC)."""
+    days = (seconds - 946728000.0) / 86400.0  # since 2000 January 1, noon
+    return (F.lit(0.7790572732640) + days * 1.00273781191135448) * (2.0 * pi) + longitude

@@ -60,37 +60,81 @@ def build_tree(counts: Iterable[tuple[int, int]]) -> Tree:
     return Tree(symbols, np.array([heap[0][1] if heap else 0, *left, *right], np.int64))
 
 
+#: Distinct symbols of a tree, at most; a column with more is not worth coding.
+MOST_SYMBOLS = 1 << 20
+#: Bits that one step of decoding looks up.
+WINDOW = 16
+
+
 def tree_of(df: DataFrame, symbol: str) -> Tree:
-    """Tree over a column's values; rows to the driver are its distinct values."""
-    return build_tree((r[0], r[1]) for r in df.groupBy(symbol).agg(F.count(F.lit(1)).alias("n")).collect())
+    """Tree over a column's values; rows to the driver are its distinct values, which are bounded."""
+    rows = df.groupBy(symbol).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SYMBOLS + 1).collect()
+    if len(rows) > MOST_SYMBOLS:
+        raise ValueError(f"{symbol} has more than {MOST_SYMBOLS} distinct values")
+    return build_tree((r[0], r[1]) for r in rows)
 
 
 def encode(values: np.ndarray, codes: dict[int, tuple[int, int]]) -> bytes:
+    """The values' codes one after the other; bits are laid out by array operations."""
     if not len(values):
         return bytes([8])
-    bits = "".join(f"{c:0{n}b}" for c, n in (codes[int(v)] for v in values))
+    symbols = np.array(sorted(codes))
+    code = np.array([codes[s][0] for s in symbols.tolist()], dtype=object if max(n for _, n in codes.values()) > 62 else np.int64)
+    length = np.array([codes[s][1] for s in symbols.tolist()])
+    at = np.searchsorted(symbols, values)
+    if not np.array_equal(symbols[np.minimum(at, len(symbols) - 1)], values):
+        raise ValueError("a value has no code")
+    n = length[at]
+    ends = np.cumsum(n)
+    place = np.arange(int(ends[-1])) - np.repeat(ends - n, n)  # of a bit in its code
+    bits = ((np.repeat(code[at], n) >> (np.repeat(n, n) - 1 - place)) & 1).astype(np.uint8)
     padding = 8 - len(bits) % 8
-    packed = np.packbits(np.frombuffer((bits + "0" * padding).encode(), np.uint8) - 48)
-    return bytes([padding]) + packed.tobytes()
+    return bytes([padding]) + np.packbits(np.concatenate([bits, np.zeros(padding, np.uint8)])).tobytes()
 
 
 def decode(data: bytes, tree: Tree, length: int) -> np.ndarray:
-    """Exactly *length* symbols; too few or left-over bits are an error."""
+    """Exactly *length* symbols; too few or left-over bits are an error.
+
+    The symbol that begins at each bit is looked up at once; what remains is to follow the
+    symbols' lengths from the first bit on.
+    """
     bits = np.unpackbits(np.frombuffer(data[1:], np.uint8))
     bits = bits[: len(bits) - data[0]] if len(bits) else bits
-    n, inner = len(tree.symbols), (len(tree.nodes) - 1) // 2
-    if n == 1:
+    wrong = ValueError("a stream of another length")
+    if len(tree.symbols) == 1:
         if len(bits) != length:
-            raise ValueError("a stream of another length")
+            raise wrong
         return np.full(length, tree.symbols[0])
-    out, node, root = [], int(tree.nodes[0]), int(tree.nodes[0])
-    for b in bits.tolist():
-        node = int(tree.nodes[inner * b + node - n])
-        if node <= n:
-            out.append(node - 1)
-            node = root
-    if len(out) != length or node != root:
-        raise ValueError("a stream of another length")
+    codes = tree.codes()
+    wide = min(WINDOW, max(n for _, n in codes.values()))
+    symbol, size = np.full(1 << wide, -1), np.zeros(1 << wide, np.int64)
+    longer: dict[tuple[int, int], int] = {}
+    for k, s in enumerate(tree.symbols.tolist()):
+        c, n = codes[s]
+        if n <= wide:
+            symbol[c << wide - n : (c + 1) << wide - n], size[c << wide - n : (c + 1) << wide - n] = k, n
+        else:
+            longer[(c, n)] = k
+    padded = np.concatenate([bits, np.zeros(wide, np.uint8)]).astype(np.int64)
+    window = np.zeros(len(bits), np.int64)
+    for k in range(wide):
+        window = window << 1 | padded[k : k + len(bits)]
+    found, step = symbol[window].tolist(), size[window].tolist()
+    out, at, end = [], 0, len(bits)
+    while at < end:
+        n = step[at]
+        if n:
+            out.append(found[at])
+        else:
+            c, n = int(window[at]), wide
+            while (c, n) not in longer:
+                if at + n >= end:
+                    raise wrong
+                c, n = c << 1 | int(bits[at + n]), n + 1
+            out.append(longer[(c, n)])
+        at += n
+    if len(out) != length or at != end:
+        raise wrong
     return tree.symbols[np.array(out, int)] if out else np.zeros(0, np.int64)
 
 

@@ -6,11 +6,11 @@ most one row a pixel and task, followed by algebra on the aggregated row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import linalg, stokes
-from skyloom.functions.geometry import regrade
+from skyloom.functions.geometry import with_coarser
 
 PACKED = ("a_ii", "a_iq", "a_iu", "a_qq", "a_qu", "a_uu")
 RHS = ("b_i", "b_q", "b_u")
@@ -85,13 +85,13 @@ def full_sky(maps: DataFrame, pixels: DataFrame, values: dict[str, float]) -> Da
 
 def degrade(maps: DataFrame, nside_in: int, nside_out: int, value: str) -> DataFrame:
     """Average of the children of each coarser pixel."""
-    return maps.groupBy(regrade(nside_in, nside_out, F.col("pix")).alias("pix")).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("children"))
+    return with_coarser(maps, nside_in, nside_out).groupBy("pix").agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("children"))
 
 
 def degrade_rms(maps: DataFrame, nside_in: int, nside_out: int, rms: str) -> DataFrame:
     """rms of the average weight: 1 / sqrt(mean(1 / rms^2)); infinite without weight."""
     weight = F.avg(F.when(F.col(rms) > 0, F.lit(1.0) / (F.col(rms) * F.col(rms))).otherwise(0.0))
-    out = maps.groupBy(regrade(nside_in, nside_out, F.col("pix")).alias("pix")).agg(weight.alias("w"))
+    out = with_coarser(maps, nside_in, nside_out).groupBy("pix").agg(weight.alias("w"))
     return out.select("pix", F.when(F.col("w") > 0, F.lit(1.0) / F.sqrt(F.when(F.col("w") > 0, F.col("w")))).otherwise(float("inf")).alias(rms))
 
 
@@ -102,6 +102,48 @@ def mixing_sums(channels: DataFrame, key: str, mixing: list[Column], data: Colum
     return channels.groupBy(key).agg(*sums, *(F.sum(m * source).alias(f"y{i}") for i, m in enumerate(mixing)))
 
 
+def fused_equations(samples: DataFrame, accepted: DataFrame, scan: list[str], keys: list[str], weight: Column, streams: dict[str, Column]) -> DataFrame:
+    """Normal matrix, hits and the right sides {name}0..2 of several streams of the samples of accepted
+    detector-scans, in one aggregation."""
+    psi = F.col("psi")
+    sums = [*normal_sums(weight, psi), F.count(F.lit(1)).alias("hits")]
+    for name, value in streams.items():
+        sums += rhs_sums(weight, value, psi, names=tuple(f"{name}{k}" for k in range(3)))
+    return samples.join(accepted, scan, "left_semi").groupBy(*keys).agg(*sums)
+
+
+def solve_fused(equations: DataFrame, keys: list[str], streams: tuple[str, ...]) -> DataFrame:
+    """{name}_i, _q, _u of each stream, and {first stream}_rms of the intensity, which all streams share."""
+    a = [F.col(c) for c in PACKED]
+    out = [c.alias(f"{name}_{p}") for name in streams for p, c in zip("iqu", linalg.solve(a, [F.col(f"{name}{k}") for k in range(3)]), strict=True)]
+    return equations.select(*keys, "hits", *out, linalg.rms(a)[0].alias(f"{streams[0]}_rms"))
+
+
+def pixel_index(seen: DataFrame, keys: list[str], npix: int, ranges: int = 1024) -> DataFrame:
+    """Dense index of the distinct pixels of each key, in order of the pixel.
+
+    Pixels are ranked inside one of *ranges* ranges; a range starts where the counts of those
+    below it end, so no task ranks all pixels of a key.
+    """
+    width = -(-npix // ranges)
+    at = seen.select(*keys, "pix").distinct().withColumn("_range", F.floor(F.col("pix") / width))
+    counts = at.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # at most *ranges* rows a key
+    below = counts.withColumn("_below", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("pix")) - 1
+    return at.withColumn("_rank", rank).join(below, [*keys, "_range"]).select(*keys, "pix", (F.col("_below") + F.col("_rank")).cast("long").alias("local"))
+
+
+def threshold_mask(mask: DataFrame, nside_in: int, nside_out: int, above: float = 0.5) -> DataFrame:
+    """``keep`` of each coarser pixel: its children's mean is above *above*."""
+    return with_coarser(mask, nside_in, nside_out).groupBy("pix").agg((F.avg(F.col("keep").cast("double")) > above).alias("keep"))
+
+
+def keeps_all(mask: DataFrame) -> bool:
+    """A mask that keeps every pixel selects nothing, and callers leave it out."""
+    return mask.where(~F.col("keep")).isEmpty()
+
+
 def solve_two(sums: DataFrame, key: str) -> DataFrame:
     """Two components a pixel; 0 where the system is singular."""
     det = F.col("m00") * F.col("m11") - F.col("m01") * F.col("m01")
@@ -112,10 +154,10 @@ def solve_two(sums: DataFrame, key: str) -> DataFrame:
 
 
 def conjugate_gradient(samples: DataFrame, keys: list[str], weight: Column, tod: Column, iterations: int = 60, tolerance: float = 1e-26) -> DataFrame:
-    """Unbinned map-making with a per-sample operator by preconditioned conjugate gradients.
+    """The binned solution by preconditioned conjugate gradients, where a direct one is not wanted.
 
-    The operator P^T N^-1 P is applied in its aggregated form, one packed matrix a pixel, so an
-    iteration is algebra and four scalar sums; samples are read once.  Vectors are checkpointed
+    The operator P^T N^-1 P of white noise is one packed matrix a pixel, so an iteration is
+    algebra and four scalar sums; samples are read once (``unbinned`` has the operator of samples).  Vectors are checkpointed
     every few iterations in the shared folder, which bounds lineage and survives lost executors.
     """
     base = normal_equations(samples, keys, weight, tod).where("a_ii > 0")

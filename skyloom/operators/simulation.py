@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import cos, pi, sin
 
 import numpy as np
@@ -54,8 +55,8 @@ def noise(n: int, fsamp: float, sigma0: float, fknee: float, alpha: float, rng:
     return np.fft.irfft(np.fft.rfft(x) * np.sqrt(1 + (f / fknee) ** alpha), n)
 
 
-def simulate(samples: DataFrame, keys: list[str], signal: str, seed: int, fsamp: float, sigma0: float, fknee: float = 0.0, alpha: float = -1.0, gain: float = 1.0, tau: float = 0.0) -> DataFrame:
-    """Replace each detector-scan's samples by T(gain * signal) + noise.
+def simulate(samples: DataFrame, keys: list[str], signal: str, seed: int, fsamp: float, sigma0: float, fknee: float = 0.0, alpha: float = -1.0, gain: float = 1.0, tau: float = 0.0, response: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Replace each detector-scan's samples by T(gain * signal) + noise; T is a time constant or any *response* of frequency.
 
     The draw is keyed by the seed and the scan's keys, so a lost task repeats the same samples
     whatever the partitions.
@@ -65,9 +66,24 @@ def simulate(samples: DataFrame, keys: list[str], signal: str, seed: int, fsamp:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, *(zlib.crc32(str(pdf[k].iloc[0]).encode()) for k in keys)])
         x = gain * pdf[signal].to_numpy(float)
-        if tau:
-            x = fourier.transfer(x, fsamp, lambda f: 1 / (1 + 2j * pi * f * tau))
+        if tau or response:
+            x = fourier.transfer(x, fsamp, response or (lambda f: 1 / (1 + 2j * pi * f * tau)))
         return pdf[[*keys, "i"]].assign(tod=x + noise(len(x), fsamp, sigma0, fknee, alpha, rng))
 
     types = dict(samples.dtypes)
     return fourier.over_scans(samples, keys, run, ", ".join([*(f"{k} {types[k]}" for k in keys), "i long", "tod double"]))
+
+
+def stored_pointing(pointing: DataFrame, offset: int, n: int, det_offset: int = 0) -> DataFrame:
+    """The samples [offset, offset + n) of a stored pointing, counted from 0, for a detector further on."""
+    at = F.col("sample") - (offset + det_offset)
+    return pointing.where((at >= 0) & (at < n)).withColumn("sample", at)
+
+
+def alms_of_spectrum(cl: DataFrame, draws: DataFrame, least: int = 0) -> DataFrame:
+    """l, m, re, im: unit draws (l, m, re, im) times the root of a spectrum (l, cl); none below *least*.
+
+    Complex draws have a mean square of 1, real ones (m = 0) too.
+    """
+    both = draws.join(small(cl, 1 << 16), "l").where(F.col("l") >= least)
+    return both.select("l", "m", *((F.col(c) * F.sqrt("cl")).alias(c) for c in ("re", "im")))

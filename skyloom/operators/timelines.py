@@ -6,6 +6,8 @@ that key, so a task holds one scan at a time, never a detector's whole history.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,8 @@ def fill_gaps(df: DataFrame, keys: list[str], value: str, keep: str, reach: int
         df.withColumn("_left", F.when(starts, F.struct(F.col("i").alias("i"), before.alias("v"), F.lag(keep).over(w).isNotNull().alias("inside"))))
         .withColumn("_right", F.when(ends, F.struct(F.col("i").alias("i"), after.alias("v"), F.lead(keep).over(w).isNotNull().alias("inside"))))
         .withColumn("_left", F.last("_left", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_right", F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        # a running last from the other end; a frame that ends at the end of the scan is read anew for each row
+        .withColumn("_right", F.last("_right", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     )
     zero = F.lit(0.0)
     left = F.when(F.col("_left.inside"), F.coalesce("_left.v", zero)).otherwise(F.coalesce("_right.v", zero))
@@ -85,23 +88,80 @@ def sigma_simple(df: DataFrame, keys: list[str], value: str, keep: str) -> DataF
     return out.select(*keys, "pairs", F.when(F.col("pairs") >= 2, F.col("_s") / (2.0**0.5)).otherwise(float("inf")).alias("sigma0"))
 
 
-def sigma_robust(df: DataFrame, keys: list[str], value: str, keep: str, passes: int = 3, cut: float = 5.0, least: int = 100, scale: float = 1.0) -> DataFrame:
+def sigma_robust(df: DataFrame, keys: list[str], value: str, keep: str, passes: int = 3, cut: float = 5.0, least: int = 100, scale: float = 1.0, scan: tuple[str, ...] = ()) -> DataFrame:
     """Noise level from disjoint pair differences over sqrt 2, clipped *passes* times at *cut*
-    levels; infinite with *least* pairs or fewer."""
-    pair = df.groupBy(*keys, F.floor(F.col("i") / 2).alias("pair")).agg(
+    levels; infinite with *least* pairs or fewer.  Pairs lie inside a *scan* of the keys.
+
+    A pass is one aggregation to a row a key, joined back; no key's pairs meet in one task.
+    """
+    pair = df.groupBy(*keys, *scan, F.floor(F.col("i") / 2).alias("pair")).agg(
         F.bool_and(keep).alias("ok"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("i") % 2 == 0, F.col(value)).otherwise(-F.col(value))).alias("r")
     )
     left = pair.where("ok and n = 2").select(*keys, (F.col("r") / (2.0**0.5)).alias("r"))
     level = F.sqrt(F.sum(F.col("r") * F.col("r")) / F.nullif(F.count("r") - 1, F.lit(0)))
     for _ in range(passes):
-        over = Window.partitionBy(*keys)
-        s = F.sqrt(F.sum(F.col("r") * F.col("r")).over(over) / F.nullif(F.count("r").over(over) - 1, F.lit(0)))
-        left = left.withColumn("_s", s).where(F.abs("r") <= F.col("_s") * cut).drop("_s")
+        limits = left.groupBy(*keys).agg((level * cut).alias("_s"))
+        left = left.join(limits, keys).where(F.abs("r") <= F.col("_s")).drop("_s")
     out = left.groupBy(*keys).agg(F.count("r").alias("pairs"), level.alias("_s"))
     known = df.select(*keys).distinct().join(out, keys, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
     return known.select(*keys, "pairs", F.when(F.col("pairs") > least, F.col("_s") * scale).otherwise(float("inf")).alias("sigma0"))
 
 
+def level_changes(x: np.ndarray, jumping: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first sample after, offset) of the jumps that runs of *jumping* mark, and the number left out.
+
+    A jump's offset takes the mean of the *window* valid samples after its run to that of those
+    before it, both with the offsets of earlier jumps added; a run with fewer on a side is left out.
+    """
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], jumping.astype(np.int8), [0]])))
+    total = np.concatenate([[0.0], np.cumsum(np.where(valid, x, 0.0))])
+    at = np.flatnonzero(valid)
+    places, offsets, left_out = [], [], 0
+    for first, after in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        before, later = at[: np.searchsorted(at, first)][-window:], at[np.searchsorted(at, after) :][:window]
+        if min(len(before), len(later)) < window:
+            left_out += 1
+            continue
+        # an earlier jump inside the window before has moved only the samples from its place on
+        moved = sum(o * (before >= p).mean() for p, o in zip(places, offsets, strict=True)) - sum(offsets)
+        places.append(after)
+        offsets.append((total[before[-1] + 1] - total[before[0]] - (total[later[-1] + 1] - total[later[0]])) / window + moved)
+    return np.array(places, np.int64), np.array(offsets), left_out
+
+
+def detect_jumps(df: DataFrame, keys: list[str], value: str, bits: int, window: int, valid: str = "valid") -> DataFrame:
+    """keys, jumps (array of loc and offset, in order) and skipped for each detector-scan with a sample whose flag has one of *bits*."""
+    types = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", kind="stable")
+        places, offsets, skipped = level_changes(pdf[value].to_numpy(float), (pdf["flag"].to_numpy() & bits) != 0, pdf[valid].to_numpy(bool), window)
+        jumps = [{"loc": int(p), "offset": float(o)} for p, o in zip(places, offsets, strict=True)]
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"jumps": [jumps], "skipped": [skipped]})
+
+    marked = df.where(F.col("flag").bitwiseAND(F.lit(bits)) != 0).select(*keys).distinct()
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", jumps array<struct<loc: long, offset: double>>, skipped long"
+    return df.join(marked, keys, "left_semi").select(*keys, "i", value, "flag", valid).groupBy(*keys).applyInPandas(run, schema)
+
+
+def pack_jumps(catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """A catalogue's ragged jumps as a count and two plain arrays a scan."""
+    return catalog.select(*keys, F.size("jumps").cast("long").alias("count"), F.transform("jumps", lambda j: j["loc"]).alias("locs"), F.transform("jumps", lambda j: j["offset"]).alias("offsets"))
+
+
+def unpack_jumps(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, loc, offset of every jump of a packed catalogue, as ``apply_jumps`` takes them."""
+    both = packed.select(*keys, F.explode(F.arrays_zip("locs", "offsets")).alias("j"))
+    return both.select(*keys, F.col("j.locs").alias("loc"), F.col("j.offsets").alias("offset"))
+
+
+def calibration_gaps(df: DataFrame, value: str, keep: str, signal: Column, gain: Column, sigma0: Column, factor: int = 1, eta: Column | None = None) -> Column:
+    """Samples that are not kept as gain times signal and, with a supplied draw, white noise of a mean over *factor* samples."""
+    line = gain * signal
+    line = line if eta is None else line + eta * sigma0 / float(np.sqrt(factor))
+    return F.when(F.col(keep), F.col(value)).otherwise(line)
+
+
 def chisq_z(df: DataFrame, keys: list[str], residual: Column, keep: Column, sigma0: Column) -> DataFrame:
     """(sum (r / sigma0)^2 - n) / sqrt(2 n) over kept samples; NaN without samples or with a bad level."""
     ok = (sigma0 > 0) & (sigma0 < float("inf"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skyloom.functions.spline import spinning_dust
-from skyloom.operators import codec, dense, fourier, harmonics, sampling, simulation
+from skyloom.operators import codec, dense, fourier, harmonics, noise, sampling, simulation
 from skyloom.operators import mapmaking as mm
 from skyloom.plans.registry import register
 from skyloom.sources import driver_tables as t
@@ -53,20 +53,17 @@ def periodogram_power(spark, d):
     return fourier.over_scans(t.timeline(spark, d), KEYS, run, "det_id long, scan_day long, n long, power double")
 
 
-@register("WIN-12", "det_id scan_day bin", "f power")
-def binned_spectra(spark, d):
-    return fourier.scan_spectra(t.timeline(spark, d), KEYS, "tod", 1.0, 12)
-
-
-@register("NOI-08 NOI-09 NOI-10 NOI-11 GAIN-03", "det_id scan_day i", "value")
+@register("NOI-09 NOI-10 NOI-11 GAIN-03", "det_id scan_day i", "value")
 def correlated_noise(spark, d):
+    """Noise with a 1/f spectrum in every scan, its draws keyed by the scan."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["tod"].to_numpy(float)
         mask = (pdf["flag"].to_numpy() & 2) == 0
-        n = fourier.correlated_noise(x - x[mask].mean() if mask.any() else x, mask.astype(float), 25.0, lambda f: fourier.oof(f, 25.0, 0.05, -1.5, white=False), 1.0)
-        return pdf[[*KEYS, "i"]].assign(value=n)
+        rng = np.random.default_rng([int(pdf[k].iloc[0]) for k in KEYS])
+        draws = (rng.standard_normal(len(x)), rng.standard_normal(len(x)), rng.random(4))
+        return pdf[[*KEYS, "i"]].assign(value=noise.noise_step(x, mask.astype(float), 1.0, 25.0, 0.05, -1.5, draws).noise)
 
     return fourier.over_scans(t.timeline(spark, d), KEYS, run, "det_id long, scan_day long, i long, value double")
 
@@ -78,7 +75,7 @@ def noise_parameters(spark, d):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf["tod"].to_numpy(float)
         s = fourier.sigma_of_psd(x, 1.0, 0.1)
-        fknee, alpha = fourier.sample_noise_parameters(x, 1.0, s, 0.1, -1.0, np.full(10, 0.5))
+        fknee, alpha = noise.fitted_parameters(x - x.mean(), 1.0, s, 0.1, -1.0, np.full(10, 0.5), window=(0.02, 0.45), binned=True)
         return pd.DataFrame({k: [pdf[k].iloc[0]] for k in KEYS} | {"sigma0": [s], "fknee": [fknee], "alpha": [alpha]})
 
     return fourier.over_scans(t.timeline(spark, d), KEYS, run, "det_id long, scan_day long, sigma0 double, fknee double, alpha double")
@@ -99,27 +96,9 @@ def gain_temporal(spark, d):
     return sums.groupBy("det_id").applyInPandas(run, "det_id long, scan_id long, gain double")
 
 
-@register("SHT-01 SHT-02 SHT-03 SHT-04 SHT-05 SRC-15", "vec_id l m", "re im", "SELECT vec_id, l, m, re, im FROM alm WHERE vec_id < 3 AND l <= 4", 6)
-def harmonic_round_trip(spark, d):
-    """Coefficients to a map and back by least squares."""
-    import pandas as pd
-
-    lmax, nside = 4, 4
-    order = {lm: k for k, lm in enumerate(harmonics.pairs(lmax))}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alm = np.zeros(len(order), complex)
-        for ell, m, re, im in zip(pdf["l"], pdf["m"], pdf["re"], pdf["im"], strict=True):
-            alm[order[(ell, m)]] = re + 1j * im
-        back = harmonics.least_squares(harmonics.synthesis(alm, nside, lmax), nside, lmax)
-        return pd.DataFrame([(int(pdf["vec_id"].iloc[0]), ell, m, back[k].real, back[k].imag) for (ell, m), k in order.items()], columns=["vec_id", "l", "m", "re", "im"])
-
-    return t.alm(spark, d).where("vec_id < 3 and l <= 4").groupBy("vec_id").applyInPandas(run, "vec_id long, l long, m long, re double, im double")
-
-
-@register("SEP-02 SEP-03 SEP-04 SEP-05 SEP-06 SHT-16 CGM-12 CMB-01", "comp l m", "re im")
+@register("SEP-02 SEP-03 SEP-04 SEP-05 SEP-06 SEP-07 SEP-08 SEP-11 SHT-16 CGM-12 CMB-01", "comp l m", "re im")
 def amplitude_solver(spark, d):
-    """Two components over three bands of a small map, the mean solution."""
+    """Two components over three bands of a small map, the mean solution; the joint preconditioner leads to it."""
     rows = t.samples(spark, d).where("flag = 0").groupBy("band", "pix").agg(F.avg("tod").alias("v"), F.count(F.lit(1)).alias("n")).collect()
     nside, lmax = t.NSIDE, 3
     bands = []
@@ -130,24 +109,28 @@ def amplitude_solver(spark, d):
                 v[r.pix], w[r.pix] = r.v, r.n / 400.0
         bands.append(sampling.Band(v, w, np.ones(lmax + 1)))
     mixing = np.array([[1.0, 3.0**-k] for k in range(len(bands))])
-    a = sampling.AmplitudeSolver(bands, mixing, np.full((2, lmax + 1), 1e3), nside, lmax).solve()
+    a = sampling.AmplitudeSolver(bands, mixing, np.full((2, lmax + 1), 1e3), nside, lmax).solve(preconditioner="joint")
     out = [(c, ell, m, float(a[c, k].real), float(a[c, k].imag)) for c in range(2) for k, (ell, m) in enumerate(harmonics.pairs(lmax))]
     return spark.createDataFrame(out, "comp int, l int, m int, re double, im double")
 
 
-@register("MC-01 MC-04 MC-06 MC-07 ORC-01 ORC-02", "name", "value")
+@register("MC-01 MC-04 MC-06 MC-07", "name", "value")
 def spectral_index_chain(spark, d):
     """A Metropolis chain whose likelihood needs four sums of the samples."""
     x = t.samples(spark, d).where("flag = 0").join(F.broadcast(t.bands(spark)), "band")
     rows = x.groupBy("nu").agg(F.avg("tod").alias("m"), (F.count(F.lit(1)) / F.var_samp("tod")).alias("w")).orderBy("nu").collect()
     nu, m, w = (np.array([float(r[k]) for r in rows]) for k in ("nu", "m", "w"))
     amp = float(m[0])
-    group = sampling.SpectralIndex({"beta": -0.5}, {"beta": 0.05}, {"beta": (-4.0, 1.0)}, lambda s: float(-0.5 * np.sum(w * (m - amp * (nu / nu[0]) ** s["beta"]) ** 2)), {"beta": (0.0, 1.0)})
-    taken = sampling.metropolis(group, 500, np.random.default_rng(5))
-    return spark.createDataFrame([("beta", group.state["beta"]), ("accepted", float(taken))], "name string, value double")
+    views = [sampling.Parameter("sync", pol, "beta", -0.5, 0.05, -4.0, 1.0, (0.0, 1.0)) for pol in ("I", "QU")]
+    groups = sampling.parameter_groups(views)  # one parameter for both views
+    names = {k: ".".join(k) for k in groups}
+    likelihood = lambda at: float(-0.5 * np.sum(w * (m - amp * (nu / nu[0]) ** at["sync.beta"]) ** 2))
+    density = sampling.bounded(likelihood, {names[k]: (p.low, p.high) for k, p in groups.items()}, {names[k]: p.prior for k, p in groups.items() if p.prior})
+    last, _, taken = sampling.metropolis({names[k]: p.value for k, p in groups.items()}, density, sampling.gaussian_step({names[k]: p.step for k, p in groups.items()}), 500, np.random.default_rng(5))
+    return spark.createDataFrame([("beta", last["sync.beta"]), ("accepted", float(taken))], "name string, value double")
 
 
-@register("LIN-09 LIN-12 SEP-07", "pix solved", "c0 c1", """WITH s AS (SELECT pix, sum(w) AS a, sum(w*m) AS b, sum(w*m*m) AS c, sum(w*d) AS y0, sum(w*m*d) AS y1 FROM
+@register("LIN-09", "pix solved", "c0 c1", """WITH s AS (SELECT pix, sum(w) AS a, sum(w*m) AS b, sum(w*m*m) AS c, sum(w*d) AS y0, sum(w*m*d) AS y1 FROM
     (SELECT pix, d, 1e0/(rms*rms) AS w, pow(chan*1e0, -15e-1) AS m FROM channels) x GROUP BY pix)
     SELECT pix, a*c - b*b > 1e-12*a*c AS solved, (c*y0 - b*y1)/(a*c - b*b) AS c0, (a*y1 - b*y0)/(a*c - b*b) AS c1 FROM s""")
 def components_by_cholesky(spark, d):
@@ -155,7 +138,7 @@ def components_by_cholesky(spark, d):
     return dense.solve_rows(mm.mixing_sums(t.channels(spark, d), "pix", mixing, F.col("d"), F.lit(1.0) / (F.col("rms") * F.col("rms"))), "pix", 2)
 
 
-@register("SIM-05 SIM-06 SIM-07 SIM-08 SIM-19 SIM-21", "det_id scan_day i", "tod")
+@register("SIM-05 SIM-06 SIM-07 SIM-19 SIM-21", "det_id scan_day i", "tod")
 def simulated_scans(spark, d):
     x = mm.with_sky(t.timeline(spark, d), t.sky(spark), t.NPIX)
     return simulation.simulate(x, KEYS, "signal", 1, 1.0, 0.5, 0.1, -1.5, 1.5, 2.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import linalg, stokes
@@ -77,26 +77,26 @@ def map_intensity(spark, d):
 
 
 @register(
-    "AGG-13 SRC-14",
+    "AGG-13",
     "pix hits",
     "s_i rms_i",
-    f"""SELECT p.pix, coalesce(hits, 0) AS hits, coalesce(s_i, 0e0) AS s_i, coalesce(rms_i, CAST('inf' AS DOUBLE)) AS rms_i FROM pixels p LEFT JOIN
-    (SELECT pix, count(*) AS hits, sum(w*d)/sum(w) AS s_i, 1e0/sqrt(sum(w)) AS rms_i FROM ({TERMS} AND pix % 3 = 0) x GROUP BY pix) m ON p.pix = m.pix""",
+    f"""SELECT p.pix, coalesce(hits, 0) AS hits, coalesce(s_i, 0e0) AS s_i, coalesce(rms_i, CAST('inf' AS DOUBLE)) AS rms_i FROM (SELECT range AS pix FROM range(192)) p LEFT JOIN
+    (SELECT pix, count(*) AS hits, sum(w*d)/sum(w) AS s_i, 1e0/sqrt(sum(w)) AS rms_i FROM ({TERMS}) x GROUP BY pix) m ON p.pix = m.pix""",
 )
 def map_full_sky(spark, d):
-    part = mm.intensity_map(_good(spark, d).where("pix % 3 = 0"), ["pix"], _w(), F.col("tod"))
-    return mm.full_sky(part, spark.range(t.NPIX).toDF("pix"), {"hits": 0, "s_i": 0.0, "rms_i": float("inf")})
+    """A sky of more pixels than the samples see."""
+    part = mm.intensity_map(_good(spark, d), ["pix"], _w(), F.col("tod"))
+    return mm.full_sky(part, spark.range(4 * t.NPIX).toDF("pix"), {"hits": 0, "s_i": 0.0, "rms_i": float("inf")})
 
 
 @register("AGG-14 JOIN-08 JOIN-09 JOIN-10", "band pix local", "", "SELECT band, pix, dense_rank() OVER (PARTITION BY band ORDER BY pix) - 1 AS local FROM (SELECT DISTINCT band, pix FROM samples WHERE flag = 0)")
 def pixel_domain(spark, d):
-    seen = _good(spark, d).select("band", "pix").distinct()
-    return seen.withColumn("local", (F.dense_rank().over(Window.partitionBy("band").orderBy("pix")) - 1).cast("long"))
+    return mm.pixel_index(_good(spark, d), ["band"], t.NPIX, 8)
 
 
-@register("JOIN-11 JOIN-14", "pix", "s_i", "SELECT s.pix, s_i FROM sky s WHERE EXISTS (SELECT 1 FROM samples x WHERE x.pix = s.pix AND flag = 1 AND scan_id = 1995)")
+@register("JOIN-11 JOIN-14", "pix", "s_i", "SELECT s.pix, s_i FROM sky s WHERE EXISTS (SELECT 1 FROM samples x WHERE x.pix = s.pix AND flag = 1)")
 def sky_of_observed_pixels(spark, d):
-    seen = t.samples(spark, d).where("flag = 1 and scan_id = 1995").select("pix").distinct()
+    seen = t.samples(spark, d).where("flag = 1").select("pix").distinct()
     return t.sky(spark).join(seen, "pix", "left_semi")
 
 
@@ -128,7 +128,7 @@ def sky_signal_parts(spark, d):
 
 
 @register(
-    "FLT-02 SRC-09 FLT-11",
+    "FLT-02 SRC-09",
     "band keep n",
     "mean",
     """SELECT band, coalesce(m.keep, k.keep, true) AS keep, count(*) AS n, avg(tod) AS mean FROM samples s
@@ -195,7 +195,7 @@ def matrix_times_sky(spark, d):
     return e.select(*KEYS, *(v.alias(n) for v, n in zip(y, ("y_i", "y_q", "y_u"), strict=True)))
 
 
-@register("CGM-01 CGM-03 CGM-04 CGM-05 CGM-06 CGM-10 CGM-11 CGM-13", "band pix", "s_i s_q s_u", SOLVED.format(EQUATIONS), 4)
+@register("CGM-03 CGM-11", "band pix", "s_i s_q s_u", SOLVED.format(EQUATIONS), 4)
 def map_conjugate_gradient(spark, d):
     from skyloom.sources.session import ensure_checkpoint_dir
 
@@ -204,7 +204,7 @@ def map_conjugate_gradient(spark, d):
 
 
 @register(
-    "SEL-02 FLT-03",
+    "FLT-03",
     "band pix hits",
     "s_i",
     f"""WITH st AS (SELECT band, det_id, scan_id, avg(CASE WHEN flag = 0 THEN 1e0 ELSE 0e0 END) AS gf FROM samples GROUP BY 1, 2, 3)
@@ -246,7 +246,7 @@ def gain_relative(spark, d):
 
 
 @register(
-    "SRC-18 SRC-01",
+    "SRC-18",
     "det_id scan_id",
     "g_abs g_rel g_temp",
     """WITH g AS (SELECT det_id, scan_id, avg(tod)/1e1 AS g FROM samples GROUP BY 1, 2), h AS (SELECT *, avg(g) OVER () AS g_abs, avg(g) OVER (PARTITION BY det_id) AS gd FROM g)
@@ -279,7 +279,7 @@ def scan_chisq(spark, d):
 
 
 @register(
-    "AGG-18 SEL-01",
+    "AGG-18",
     "band present accepted low_fraction bad_chisq",
     "p5 p50 p95 worst",
     f"""SELECT band, count(*) AS present, count(CASE WHEN gf >= 82e-2 AND abs(z) <= 5e0 THEN 1 END) AS accepted, count(CASE WHEN gf < 82e-2 THEN 1 END) AS low_fraction,
@@ -328,7 +328,7 @@ def chisq_rollup(spark, d):
 
 
 @register(
-    "LIN-10 LIN-11 SEP-01 SEP-12",
+    "LIN-10 SEP-01",
     "pix",
     "c0 c1",
     """WITH s AS (SELECT pix, sum(w) AS a, sum(w*m) AS b, sum(w*m*m) AS c, sum(w*d) AS y0, sum(w*m*d) AS y1 FROM
@@ -353,29 +353,6 @@ def band_views(spark, d):
     return out.where(~((F.col("view") == "QU") & F.col("i").isNotNull())).select("band", "view", F.coalesce("i", "q").alias("sender"))
 
 
-@register("SRC-02 SRC-03 SRC-05", "band det_id scan_id n", "fraction", """SELECT band, det_id, scan_id, count(*) AS n, avg(CASE WHEN flag = 0 THEN 1e0 ELSE 0e0 END) AS fraction FROM samples GROUP BY 1, 2, 3
-    HAVING avg(CASE WHEN flag = 0 THEN 1e0 ELSE 0e0 END) >= 75e-2 AND bool_or(tod <> 0) AND avg(abs(tod)) <= 4e1 AND stddev_samp(tod) <= 3e1""")
-def reader_scan_cuts(spark, d):
-    out = t.samples(spark, d).groupBy("band", "det_id", "scan_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg((F.col("flag") == 0).cast("double")).alias("fraction"), F.bool_or(F.col("tod") != 0).alias("live"), F.avg(F.abs("tod")).alias("size"), F.stddev_samp("tod").alias("s")
-    )
-    return out.where("fraction >= 0.75 and live and size <= 40 and s <= 30")
-
-
-@register("SRC-06", "band scan_id n", "", "SELECT band, scan_id, count(*) AS n FROM samples s WHERE NOT EXISTS (SELECT 1 FROM samples x WHERE x.band = s.band AND x.scan_id = s.scan_id AND x.flag = 1 AND x.pix = 7 AND x.det_id = 2) GROUP BY 1, 2")
-def reader_reject_flagged_scans(spark, d):
-    s = t.samples(spark, d)
-    bad = s.where("flag = 1 and pix = 7 and det_id = 2").select("band", "scan_id").distinct()
-    return s.join(bad, ["band", "scan_id"], "left_anti").groupBy("band", "scan_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("SRC-07", "det n", "mean_psi", "SELECT det, count(*) AS n, avg(psi + radians(225e-1*(det % 8))) AS mean_psi FROM samples CROSS JOIN (SELECT range AS det FROM range(10)) WHERE scan_id = 1996 GROUP BY det", 6)
-def reader_spawned_detectors(spark, d):
-    dets = spark.range(10).toDF("det")
-    s = t.samples(spark, d).where("scan_id = 1996").crossJoin(F.broadcast(dets))
-    return s.groupBy("det").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("psi") + F.radians(F.col("det") % 8 * 22.5)).alias("mean_psi"))
-
-
 @register("SRC-10", "scan_id n good", "", """WITH n AS (SELECT scan_id, count(*) AS n FROM samples GROUP BY scan_id), f AS (SELECT range AS n, (range*7919) % 1009 AS cost FROM range(200000))
     SELECT s.scan_id, s.n, arg_min(f.n, f.cost*1000000 + f.n) AS good FROM n s JOIN f ON f.n BETWEEN CAST(ceil(s.n*99e-2) AS BIGINT) AND s.n GROUP BY 1, 2""")
 def fourier_lengths(spark, d):

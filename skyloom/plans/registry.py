@@ -40,4 +40,4 @@ def register(covers: str, exact: str, rounded: str = "", sql: str | None = None,
     return add
 
 
-from skyloom.plans import grouped, maps, sky, timeline  # noqa: E402, F401  (they register themselves)
+from skyloom.plans import grouped, maps, scans, sky, timeline  # noqa: E402, F401  (they register themselves)

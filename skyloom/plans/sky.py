@@ -128,14 +128,6 @@ def alm_real_form(spark, d):
     return norm.join(mp.to_complex(real).groupBy("vec_id").agg(F.sum(F.col("re") + F.col("im")).alias("back")), "vec_id")
 
 
-@register("SHT-12 SHT-23 SKY-17 SKY-18 SKY-19 SKY-20 SKY-21", "l m n", "re im", """SELECT l, m, count(*) AS n, sum(re*pow(2e0, -(vec_id % 3)) + 5e-1*im) AS re, sum(im*pow(2e0, -(vec_id % 3)) - 5e-1*re) AS im FROM alm WHERE vec_id < 30 GROUP BY l, m""", 6)
-def alm_mixed_components(spark, d):
-    a = t.alm(spark, d).where("vec_id < 30")
-    sed = F.pow(F.lit(2.0), -(F.col("vec_id") % 3))
-    mixed = a.select("l", "m", (F.col("re") * sed + F.col("im") * 0.5).alias("re"), (F.col("im") * sed - F.col("re") * 0.5).alias("im"))
-    return mixed.groupBy("l", "m").agg(F.count(F.lit(1)).alias("n"), F.sum("re").alias("re"), F.sum("im").alias("im"))
-
-
 @register("SEP-06 SEP-09", "l", "pre beam", f"""SELECT l, 1e0/(1e0 + 1e1*sum(exp(-l*(l + 1e0)*pow(fwhm*pi()/180e0/6e1, 2)/(8e0*ln(2e0)))*pow(nu/1e2, -1e0))) AS pre, 1e0/sum(exp(-l*(l + 1e0)*pow(fwhm*pi()/180e0/6e1, 2)/(8e0*ln(2e0)))) AS beam
     FROM (SELECT range AS l FROM range(200)) q CROSS JOIN bands GROUP BY l""", 8)
 def diagonal_preconditioner(spark, d):
@@ -167,16 +159,6 @@ def point_source_adjoint(spark, d):
     return so.source_values(b, t.sky(spark).select("pix", F.col("s_i").alias("value")))
 
 
-@register("SKY-22 SKY-23 SEP-14 FLT-08 FLT-10 FLT-12", "source status", "amp", """SELECT source, CASE WHEN source % 4 = 1 THEN 'new' ELSE 'old' END AS status, CASE WHEN source % 4 = 1 THEN amp*2e0 ELSE amp END AS amp FROM sources WHERE source % 2 = 1""", 3)
-def component_update(spark, d):
-    old = t.sources(spark, d).where("source % 2 = 1").select("source", "amp")
-    new = old.where("source % 4 = 1").select("source", (F.col("amp") * 2.0).alias("fresh"))
-    unknown = new.join(old, "source", "left_anti").agg(F.count(F.lit(1)).alias("c"))
-    out = old.join(new, "source", "left").crossJoin(F.broadcast(unknown))
-    checked = F.when(F.col("c") == 0, F.coalesce("fresh", "amp")).otherwise(F.raise_error(F.lit("an update names an unknown component")).cast("double"))
-    return out.select("source", F.when(F.col("fresh").isNotNull(), "new").otherwise("old").alias("status"), checked.alias("amp"))
-
-
 @register("SKY-25 SKY-26 SIM-18 SIM-23 SKY-15", "band pix", "value", f"""SELECT band, pix, s_i*pow(nu/3e1, -31e-1) + 2e0*s_i*pow(nu/545e0, 255e-2)*(exp(1e9*{HK}/195e-1*545e0) - 1e0)/(exp(1e9*{HK}/195e-1*nu) - 1e0) + (s_q*s_q)*pow(1e9*{HK}/27255e-4*nu, 2)*exp(1e9*{HK}/27255e-4*nu)/pow(exp(1e9*{HK}/27255e-4*nu) - 1e0, 2) AS value
     FROM sky CROSS JOIN bands""", 6)
 def sky_model_bands(spark, d):
@@ -236,12 +218,6 @@ def solar_dipole_alm(spark, d):
     return spark.createDataFrame(rows, "m int, re double, im double")
 
 
-@register("SNK-07 SNK-06", "line", "", """SELECT CAST(det_id*100000 + scan_day AS VARCHAR) || ' "scan_' || CAST(det_id AS VARCHAR) || '.parquet" 1 0.0 0.0' AS line FROM (SELECT DISTINCT det_id, scan_day FROM timeline) q""")
-def scan_manifest(spark, d):
-    s = t.timeline(spark, d).select("det_id", "scan_day").distinct().withColumn("pid", F.col("det_id") * 100000 + F.col("scan_day"))
-    return s.select(F.concat(F.col("pid").cast("string"), F.lit(' "scan_'), F.col("det_id").cast("string"), F.lit('.parquet" 1 0.0 0.0')).alias("line"))
-
-
 @register("SNK-09 ORC-10", "band pix", "residual", """SELECT band, pix, avg(tod) - min(s_i) AS residual FROM samples JOIN sky USING (pix) WHERE flag = 0 GROUP BY 1, 2""", 5)
 def map_residual(spark, d):
     m = t.samples(spark, d).where("flag = 0").groupBy("band", "pix").agg(F.avg("tod").alias("v"))

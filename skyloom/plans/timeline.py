@@ -75,33 +75,11 @@ FILL = f"""{ISLANDS}, g AS (SELECT det_id, scan_day, min(i) AS lo, max(i) AS hi
     FROM k LEFT JOIN f ON f.det_id = k.det_id AND f.scan_day = k.scan_day AND k.i BETWEEN f.lo AND f.hi"""
 
 
-@register("WIN-06 WIN-07 GAIN-02", "det_id scan_day i", "filled", FILL, 9)
+@register("WIN-06 WIN-07", "det_id scan_day i", "filled", FILL, 9)
 def filled_gaps(spark, d):
     return tl.fill_gaps(_kept(spark, d), KEYS, "tod", "keep")
 
 
-@register("WIN-05 SRC-19 SNK-05", "det_id scan_day i", "corrected", f"""SELECT det_id, scan_day, i, tod + sum(CASE WHEN i % 9 = 4 THEN 1e0 + det_id ELSE 0e0 END + CASE WHEN i = 4 THEN -5e-1 ELSE 0e0 END) OVER
-    (PARTITION BY det_id, scan_day ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS corrected FROM timeline""")
-def jumps_applied(spark, d):
-    x = t.timeline(spark, d)
-    at = x.where("i % 9 = 4").select(*KEYS, F.col("i").alias("loc"), (F.col("det_id") + 1.0).alias("offset"))
-    more = x.where("i = 4").select(*KEYS, F.col("i").alias("loc"), F.lit(-0.5).alias("offset"))
-    catalog = at.unionByName(more).groupBy(*KEYS).agg(F.collect_list(F.struct("loc", "offset")).alias("jumps"))
-    ragged = catalog.select(*KEYS, F.explode("jumps").alias("j")).select(*KEYS, "j.loc", "j.offset")
-    return tl.apply_jumps(x, ragged, KEYS, "tod")
-
-
-@register("AGG-24", "det_id scans n lo hi", "mean_n size", """WITH j AS (SELECT det_id, scan_day, count(*) AS c FROM timeline WHERE i % 9 = 4 GROUP BY 1, 2),
-    s AS (SELECT det_id, median(abs(tod - 1e2)) AS size FROM timeline WHERE i % 9 = 4 GROUP BY 1)
-    SELECT j.det_id, count(*) AS scans, CAST(sum(c) AS BIGINT) AS n, min(c) AS lo, max(c) AS hi, avg(c) AS mean_n, any_value(size) AS size FROM j JOIN s ON s.det_id = j.det_id GROUP BY 1""")
-def jump_summary(spark, d):
-    x = t.timeline(spark, d).where("i % 9 = 4")
-    counts = x.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("c")).groupBy("det_id").agg(
-        F.count(F.lit(1)).alias("scans"), F.sum("c").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.avg("c").alias("mean_n")
-    )
-    return counts.join(x.groupBy("det_id").agg(F.median(F.abs(F.col("tod") - 100.0)).alias("size")), "det_id")
-
-
 @register("WIN-08", "det_id scan_day pairs", "sigma0", f"""WITH k AS (SELECT det_id, scan_day, CASE WHEN (flag & 2) = 0 AND (lag(flag) {OVER} & 2) = 0 THEN tod - lag(tod) {OVER} END AS x FROM timeline)
     SELECT det_id, scan_day, count(x) AS pairs, CASE WHEN count(x) >= 2 THEN stddev_samp(x)/sqrt(2e0) ELSE CAST('inf' AS DOUBLE) END AS sigma0 FROM k GROUP BY 1, 2""")
 def sigma_simple(spark, d):
@@ -111,13 +89,11 @@ def sigma_simple(spark, d):
 CLIP = "SELECT det_id, r FROM (SELECT *, sqrt(sum(r*r) OVER (PARTITION BY det_id)/nullif(count(r) OVER (PARTITION BY det_id) - 1, 0)) AS s FROM {}) x WHERE abs(r) <= 5e0*s"
 
 
-@register("WIN-09 WIN-10 NOI-12", "det_id pairs", "sigma0", f"""WITH n AS (SELECT det_id, flag, tod, row_number() OVER (PARTITION BY det_id ORDER BY event_id) - 1 AS j FROM timeline),
-    p AS (SELECT det_id, sum(CASE WHEN j % 2 = 0 THEN tod ELSE -tod END)/sqrt(2e0) AS r FROM n GROUP BY det_id, j//2 HAVING count(*) = 2 AND bool_and((flag & 2) = 0)),
+@register("WIN-09 WIN-10 NOI-12", "det_id pairs", "sigma0", f"""WITH p AS (SELECT det_id, sum(CASE WHEN i % 2 = 0 THEN tod ELSE -tod END)/sqrt(2e0) AS r FROM timeline GROUP BY det_id, scan_day, i//2 HAVING count(*) = 2 AND bool_and((flag & 2) = 0)),
     c1 AS ({CLIP.format("p")}), c2 AS ({CLIP.format("c1")}), c3 AS ({CLIP.format("c2")})
     SELECT det_id, count(*) AS pairs, CASE WHEN count(*) > 100 THEN sqrt(sum(r*r)/(count(*) - 1)) ELSE CAST('inf' AS DOUBLE) END AS sigma0 FROM c3 GROUP BY det_id""")
 def sigma_robust(spark, d):
-    long = _kept(spark, d).drop("i").withColumn("i", F.row_number().over(Window.partitionBy("det_id").orderBy("event_id")) - 1)
-    return tl.sigma_robust(long, ["det_id"], "tod", "keep")
+    return tl.sigma_robust(_kept(spark, d), ["det_id"], "tod", "keep", scan=("scan_day",))
 
 
 @register("GEO-10", "det_id scan_day i", "bearing", f"""WITH a AS (SELECT *, acos(1e0 - 2e0*(pix + 5e-1)/48e0) AS th, psi*2e0 AS ph FROM timeline),
@@ -145,12 +121,12 @@ PIX = """SELECT *, CASE WHEN za <= 2e0/3e0 THEN 2*n*(n - 1) + (n + jp - jm)*4*n
     SELECT *, cos(th) AS z, ph*2e0/pi() - 4e0*floor(ph*2e0/pi()/4e0) AS tt, {n} AS n FROM ({src}) s0) s1) s2) s3"""
 
 
-@register("GEO-01 GEO-02 GEO-09 GEO-12", "p n", "th", f"SELECT p, count(*) AS n, avg(th) AS th FROM ({PIX.format(n=64, src=ANG)}) x GROUP BY p", 6)
+@register("GEO-01 GEO-02 GEO-09", "p n", "th", f"SELECT p, count(*) AS n, avg(th) AS th FROM ({PIX.format(n=64, src=ANG)}) x GROUP BY p", 6)
 def ang2pix_ring(spark, d):
     k = t.table(spark, d, "lineitem")
     th = F.acos(F.lit(1.0) - (F.col("l_partkey") * 7919 % 10007 + 0.5) * 2.0 / 10007.0)
     ph = (F.col("l_suppkey") * 104729 + F.col("l_partkey") * 31) % 9973 * (2.0 * 3.141592653589793 / 9973.0)
-    return k.select(th.alias("th"), geo.ang2pix(64, th, ph).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.avg("th").alias("th"))
+    return geo.with_pixel(k.select(th.alias("th"), ph.alias("ph")), 64, F.col("th"), F.col("ph"), "p").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.avg("th").alias("th"))
 
 
 CENTRE = """SELECT p AS pix, CASE WHEN p < 2*n*(n-1) THEN 1e0 - nr*nr/(3e0*n*n) WHEN p < 12*n*n - 2*n*(n-1) THEN 2e0*(2*n - br)/(3e0*n) ELSE sr*sr/(3e0*n*n) - 1e0 END AS z,
@@ -164,7 +140,7 @@ def pix2ang_ring(spark, d):
     return spark.range(12 * 16 * 16).select(F.col("id").alias("pix"), geo.pix2z(16, F.col("id")).alias("z"), geo.pix2phi(16, F.col("id")).alias("phi"))
 
 
-@register("GEO-08 SRC-12 SNK-01", "pix children", "value rms", f"""SELECT p AS pix, count(*) AS children, avg(v) AS value, 1e0/sqrt(avg(1e0/(r*r))) AS rms FROM ({PIX.format(n=2, src=f"SELECT acos(z) AS th, phi AS ph, pix % 17*1e0 AS v, 1e0 + pix % 5 AS r FROM ({CENTRE.format(n=16).replace('AS z,', 'AS z,')}) q")}) x GROUP BY p""", 6)
+@register("GEO-08", "pix children", "value rms", f"""SELECT p AS pix, count(*) AS children, avg(v) AS value, 1e0/sqrt(avg(1e0/(r*r))) AS rms FROM ({PIX.format(n=2, src=f"SELECT acos(z) AS th, phi AS ph, pix % 17*1e0 AS v, 1e0 + pix % 5 AS r FROM ({CENTRE.format(n=16).replace('AS z,', 'AS z,')}) q")}) x GROUP BY p""", 6)
 def degraded_map(spark, d):
     from skyloom.operators import mapmaking as mm
 
@@ -191,11 +167,11 @@ def relativistic_dipole(spark, d):
 
 
 @register("GEO-07 SRC-04", "det n", "theta phi psi", """WITH q AS (SELECT det, b.event_id, cos((psi + 1e-1)/2e0)*cos(th/2e0) AS w0, th, psi AS ph, det*1e-2 AS xi FROM
-    (SELECT event_id, psi, acos(1e0 - 2e0*(pix + 5e-1)/48e0) AS th FROM timeline WHERE i < 3) b CROSS JOIN (SELECT range AS det FROM range(3)) d)
+    (SELECT event_id, psi, acos(1e0 - 2e0*(pix + 5e-1)/48e0) AS th FROM timeline) b CROSS JOIN (SELECT range AS det FROM range(3)) d)
     SELECT det, count(*) AS n, avg(acos(cos(th)*cos(xi) - sin(th)*sin(xi))) AS theta, avg(CASE WHEN th + xi > pi() THEN CASE WHEN ph > 0e0 THEN ph - pi() ELSE ph + pi() END ELSE ph END) AS phi, avg(CASE WHEN th + xi > pi() THEN 1e0 ELSE 0e0 END) AS psi FROM q GROUP BY det""", 6)
 def detector_pointing(spark, d):
     dets = spark.range(3).select(F.col("id").alias("det"), (F.col("id") * 1e-2).alias("xi"))
-    b = t.timeline(spark, d).where("i < 3").select("psi", F.acos(F.lit(1.0) - (F.col("pix") + 0.5) * 2.0 / 48.0).alias("th"))
+    b = t.timeline(spark, d).select("psi", F.acos(F.lit(1.0) - (F.col("pix") + 0.5) * 2.0 / 48.0).alias("th"))
     both = b.crossJoin(F.broadcast(dets))
     q = geo.quaternion_product(geo.quaternion_product(geo.rotation_z(F.col("psi")), geo.rotation_y(F.col("th"))), geo.rotation_y(F.col("xi")))
     theta, phi, psi = geo.quaternion_angles(q)
@@ -203,21 +179,13 @@ def detector_pointing(spark, d):
     return out.groupBy("det").agg(F.count(F.lit(1)).alias("n"), F.avg("theta").alias("theta"), F.avg("phi").alias("phi"), F.avg("psi").alias("psi"))
 
 
-@register("AGG-22 AGG-23 SNK-03 SNK-04", "det_id n first_code", "total", """SELECT det_id, count(*) AS n, CAST(arg_min(pix, event_id) AS BIGINT) AS first_code, sum(tod) AS total FROM timeline GROUP BY det_id""")
+@register("AGG-22 AGG-23", "det_id n first_code", "total", """SELECT det_id, count(*) AS n, CAST(arg_min(pix, event_id) AS BIGINT) AS first_code, sum(tod) AS total FROM timeline GROUP BY det_id""")
 def gathered_timelines(spark, d):
     scans = t.timeline(spark, d).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("event_id", "pix", "tod"))).alias("rows"))
     per_det = scans.groupBy("det_id").agg(F.sum(F.size("rows")).alias("n"), F.min(F.element_at("rows", 1)).alias("head"), F.sum(F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["tod"])).alias("total"))
     return per_det.select("det_id", "n", F.col("head.pix").alias("first_code"), "total")
 
 
-@register("SRC-16 ORC-09", "k v", "", "SELECT * FROM (VALUES (1, 1), (1, 3), (1, 4), (1, 5), (2, 7), (2, 8)) q(k, v)")
-def parsed_integer_sets(spark, d):
-    text = spark.createDataFrame([(1, "1,3-5"), (2, " 7-8 ")], "k int, s string")
-    part = text.select("k", F.explode(F.split(F.trim("s"), ",")).alias("p"))
-    ends = F.split(F.trim("p"), "-")
-    return part.select("k", F.explode(F.sequence(F.element_at(ends, 1).cast("int"), F.element_at(ends, -1).cast("int"))).alias("v"))
-
-
 @register("ORC-06", "path a b kind", "", """SELECT coalesce(x.o_orderkey, y.o_orderkey) AS path, x.v AS a, y.v AS b, CASE WHEN y.v IS NULL THEN 'removed' WHEN x.v IS NULL THEN 'added' ELSE 'changed' END AS kind
     FROM (SELECT o_orderkey, o_orderpriority AS v FROM orders WHERE o_orderkey % 3 <> 0) x FULL JOIN
     (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderpriority END AS v FROM orders WHERE o_orderkey % 4 <> 0) y ON x.o_orderkey = y.o_orderkey WHERE x.v IS DISTINCT FROM y.v""")
@@ -232,9 +200,3 @@ def parameter_diff(spark, d):
 @register("ORC-08", "det_id scan_day", "value", "SELECT det_id, scan_day, arg_min(tod, i) AS value FROM timeline GROUP BY 1, 2")
 def first_of_series(spark, d):
     return t.timeline(spark, d).groupBy(*KEYS).agg(F.min_by("tod", "i").alias("value"))
-
-
-@register("SRC-08 GEO-06", "day n", "first_mjd", "SELECT scan_day AS day, count(*) AS n, min(epoch(ts))/864e2 + 40587e0 AS first_mjd FROM (SELECT date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS scan_day, ts FROM events) q GROUP BY 1", 6)
-def scan_start_mjd(spark, d):
-    e = t.table(spark, d, "events").select(F.unix_date(F.to_date("ts")).cast("long").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return e.groupBy("day").agg(F.count(F.lit(1)).alias("n"), (F.min("us") / 86400e6 + 40587.0).alias("first_mjd"))

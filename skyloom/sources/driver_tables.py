@@ -131,9 +131,10 @@ def with_views(sql: str) -> str:
     wanted = [v for v in ("flat", *(k for k in VIEWS if k != "flat")) if v in sql or v == "flat" and "alm" in sql]
     body = sql.strip()
     own = ""
+    recursive = body.upper().startswith("WITH RECURSIVE ")
     if body.upper().startswith("WITH "):
-        own, body = body[5:], ""
+        own, body = body[15 if recursive else 5 :], ""
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in wanted)
     if not head:
         return sql
-    return f"WITH {head}, {own}" if own else f"WITH {head} {body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{head}, {own}" if own else f"WITH {head} {body}"

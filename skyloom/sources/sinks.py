@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,22 @@ def flat_form(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     rows = F.array_sort(F.collect_list(F.struct(*keys, F.col(value).alias("v"))))
     return df.agg(rows.alias("r")).select(F.transform("r", lambda x: F.size(x["v"])).alias("lengths"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat"))
+
+
+def write_parameters(spark, path: str, parameters: dict, chain: int) -> None:
+    """A run's parameters beside its chain, as one row of JSON."""
+    spark.createDataFrame([(chain, json.dumps(parameters, sort_keys=True))], "chain int, parameters string").write.mode("overwrite").parquet(f"{path}/_parameters")
+
+
+def read_parameters(spark, path: str) -> dict:
+    """The parameters of the first chain that has any."""
+    row = spark.read.parquet(f"{path}/_parameters").where("parameters is not null").orderBy("chain").first()
+    if row is None:
+        raise ValueError(f"{path} has no parameters")
+    return json.loads(row["parameters"])
+
+
+def write_diagnostics(equations: DataFrame, maps: DataFrame, path: str, keys: tuple[str, ...] = ("band",)) -> None:
+    """Sky, hits, rms and the six numbers of the normal matrix of each pixel, one directory a band."""
+    packed = equations.select(*keys, "pix", "a_ii", "a_iq", "a_iu", "a_qq", "a_qu", "a_uu")
+    maps.join(packed, [*keys, "pix"]).write.mode("overwrite").partitionBy(*keys).parquet(path)

@@ -7,9 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from skyloom.functions import geometry as geo
 from skyloom.functions.spline import not_a_knot, spinning_dust
-from skyloom.operators import calibration, codec, dense, fourier, harmonics, sampling, simulation, timelines
+from skyloom.operators import calibration, codec, components, dense, fourier, gibbs, harmonics, noise, sampling, simulation, timelines, unbinned
 from skyloom.operators import mapmaking as mm
-from skyloom.sources import parameters, readers, sinks
+from skyloom.sources import layouts, parameters, readers, session, sinks
 from skyloom.streaming import increments
 
 rng = np.random.default_rng(11)
@@ -54,15 +54,65 @@ def test_correlated_noise_against_dense_solution():
     inv = np.where(c > 0, 1 / np.where(c > 0, c, 1), 0)
     dense = np.stack([fourier.irfft_mirrored(inv * fourier.rfft_mirrored(e), n) for e in np.eye(n)], 1) + np.diag(mask / sigma**2)
     want = np.linalg.solve(dense, mask * x / sigma**2)
-    assert np.allclose(fourier.correlated_noise(x, mask, sigma, corr, 1.0), want, atol=1e-6)
+    assert np.allclose(noise.full_noise(x, mask, sigma, inv), want, atol=1e-6)
+    draw = noise.constrained_noise(x, mask, sigma, inv, tolerance=1e-12, most=500)
+    assert draw.converged and draw.iterations <= 8 and np.allclose(draw.noise, want, atol=1e-6)
+    white, prior = rng.standard_normal(n), rng.standard_normal(n)
+    drawn = noise.constrained_noise(x, mask, sigma, inv, white, prior, 1e-12, 500).noise
+    assert np.allclose(drawn, noise.full_noise(x, mask, sigma, inv, white, prior), atol=1e-6)
+    # what stands in a gap changes nothing
+    other = np.where(mask > 0, x, 99.0)
+    assert np.allclose(noise.constrained_noise(other, mask, sigma, inv, white, prior, 1e-12, 500).noise, drawn, atol=1e-6)
+    assert np.allclose(noise.constrained_noise(x, np.ones(n), sigma, inv).noise, noise.stationary_noise(x, sigma, inv))
+
+
+def test_gap_noise_falls_back():
+    n = 60
+    mask = np.ones(n)
+    mask[20:30] = 0
+    c = fourier.oof(np.fft.rfftfreq(2 * n), 1.0, 0.1, -1.5, white=False)
+    inv = np.where(c > 0, 1 / np.where(c > 0, c, 1), 0)
+    x, white, prior = (rng.standard_normal(n) for _ in range(3))
+    assert noise.gap_noise(x, mask, 1.0, inv, "full_cg", white, prior)[1] == "full_cg"
+    assert noise.gap_noise(x, mask, 1.0, inv, "full_cg", white, prior, most=0)[1] == "fallback"
+    assert noise.gap_noise(x, mask, 1.0, inv, "full_cg", white, 1e4 * prior)[1] == "fallback"
+    assert noise.gap_noise(x, mask, 1.0, inv, "fallback", white, prior)[1] == "fallback"
+    with pytest.raises(ValueError):
+        noise.gap_noise(x, mask, 1.0, inv, "none", white, prior)
+
+
+def test_noise_step():
+    n = 2000
+    x = noise.stationary_noise(rng.standard_normal(n), 1.0, np.full(n + 1, 1.0)) + rng.standard_normal(n) + 5
+    mask = np.ones(n)
+    mask[300:340] = 0
+    draws = (rng.standard_normal(n), rng.standard_normal(n), np.full(4, 0.5))
+    for mode, most, status in (("full", 100, "converged"), ("full", 0, "stationary"), ("offset", 100, "offset"), ("no_offset", 100, "converged")):
+        step = noise.noise_step(x, mask, 10.0, 1.0, 0.5, -1.0, draws, mode, most)
+        assert step.status == status and np.isfinite(step.noise).all() and step.sigma0 == 1.0
+        if mode == "no_offset":
+            assert abs(step.noise.mean()) < 1e-9
+    assert np.allclose(noise.noise_step(x, mask, 10.0, 1.0, 0.5, -1.0, draws, "offset").noise, x[mask > 0].mean(), atol=0.2)
+    assert noise.noise_step(x, 0 * mask, 10.0, 1.0, 0.5, -1.0, draws).status == "empty"
+    assert noise.noise_step(x, mask, 10.0, 1.0, 0.5, -1.0, (draws[0], 1e6 * draws[1], draws[2])).status == "high_variance"
+    with pytest.raises(ValueError):
+        noise.noise_step(x, mask, 10.0, 0.0, 0.5, -1.0, draws)
+    assert 0.5 < noise.noise_step(x, mask, 10.0, None, 0.5, -1.0, draws).sigma0 < 1.6
 
 
 def test_noise_parameters_recover_the_spectrum():
     n, fs = 1 << 14, 50.0
     f = np.fft.rfftfreq(n, 1 / fs)
     x = np.fft.irfft(np.fft.rfft(rng.standard_normal(n)) * np.sqrt(fourier.oof(f, 1.0, 1.0, -1.6)), n)
-    knee, slope = fourier.sample_noise_parameters(x, fs, 1.0, 0.3, -1.0, np.full(10, 0.5))
-    assert 0.7 < knee < 1.4 and -1.9 < slope < -1.3
+    for options in ({}, {"binned": True}, {"window": (0.02, 20.0)}, {"window": (0.02, 20.0), "binned": True}):
+        knee, slope = noise.fitted_parameters(x, fs, 1.0, 0.3, -1.0, np.full(10, 0.5), **options)
+        assert 0.7 < knee < 1.4 and -1.9 < slope < -1.3
+    # a narrow prior decides, a window without modes changes nothing
+    knee, slope = noise.fitted_parameters(x, fs, 1.0, 0.3, -1.0, np.full(10, 0.5), prior=lambda k, a: -0.5 * ((a + 0.8) / 1e-4) ** 2)
+    assert abs(slope + 0.8) < 0.02
+    assert noise.fitted_parameters(x, fs, 1.0, 0.3, -1.0, np.full(10, 0.5), window=(1e3, 2e3)) == (0.3, -1.0)
+    edges = noise.log_bins(5000)
+    assert edges[0] == 0 and edges[-1] == 5000 and (np.diff(edges) > 0).all() and len(edges) <= 101
 
 
 def test_temporal_gain_against_dense_solution():
@@ -119,14 +169,25 @@ def test_amplitude_solver_against_dense_solution():
     assert np.abs(residual).max() < 1e-6 * np.abs(s.rhs()).max()
 
 
-def test_metropolis_follows_its_prior():
-    g = sampling.SpectralIndex({"b": 0.0}, {"b": 1.0}, {"b": (-5, 9)}, lambda s: 0.0, {"b": (2.0, 0.5)})
-    values = []
-    generator = np.random.default_rng(1)
-    for _ in range(3000):
-        sampling.metropolis(g, 1, generator)
-        values.append(g.state["b"])
-    assert abs(np.mean(values[200:]) - 2) < 0.15 and abs(np.std(values[200:]) - 0.5) < 0.15
+def test_metropolis_and_groups():
+    density = sampling.bounded(lambda at: 0.0, {"b": (-5, 9)}, {"b": (2.0, 0.5)})
+    step, draws = sampling.gaussian_step({"b": 1.0}), np.random.default_rng(2)
+    here, seen, taken = {"b": 0.0}, [], 0
+    for _ in range(400):
+        here, _, n = sampling.metropolis(here, density, step, 10, draws)
+        taken += n
+        seen.append(here["b"])
+    assert abs(np.mean(seen) - 2) < 0.15 and 0.35 < np.std(seen) < 0.65 and 0 < taken < 4000
+    # outside the bounds nothing is accepted, and what was solved for the state stays with it
+    last, solved, taken = sampling.metropolis({"b": 1.0}, lambda at: (0.0 if at["b"] == 1.0 else -np.inf, at["b"]), step, 50, draws)
+    assert (last, solved, taken) == ({"b": 1.0}, 1.0, 0)
+    P = sampling.Parameter
+    both = [P("dust", pol, "beta", 1.5, 0.1, 0, 3, (1.5, 0.1)) for pol in ("I", "QU")]
+    assert list(sampling.parameter_groups([*both, P("cmb", "I", "t", 2.7, 0, 0, 3)])) == [("dust", "beta")]
+    assert sampling.parameter_groups(both, ["cmb"]) == {}
+    for wrong in (P("dust", "QU", "beta", 1.4, 0.1, 0, 3), P("a", "I", "b", 5, 0.1, 0, 3), P("a", "I", "b", 1, -1, 0, 3), P("a", "I", "b", 1, 1, 3, 0), P("a", "I", "b", 1, 1, 0, 3, (1, 0))):
+        with pytest.raises(ValueError):
+            sampling.parameter_groups([*both, wrong])
 
 
 def test_gibbs_cycle_records():
@@ -272,3 +333,232 @@ def test_parameters(tmp_path):
         parameters.check_tiers(groups, {"s": {"resolve": ["q"]}})
     assert parameters.transfer_of({"tau": 1}, None)["tau"] == 1 and parameters.transfer_of({}, {"kind": "x"}) == {"kind": "x"}
     assert parameters.views({"a": "IQU", "b": "I"}, 2) == [[("a", "I"), ("b", "I")], [("a", "QU")]]
+
+
+def test_harmonics_of_high_degree():
+    """Legendre polynomials, the addition theorem, a round trip up to the resolution's limit."""
+    theta = np.array([0.003, 0.2, 1.1, 1.5, 3.1])
+    for ell in (1, 56, 191, 600):
+        want = np.polynomial.legendre.legval(np.cos(theta), [0] * ell + [1])
+        assert np.allclose(harmonics.wigner_d(ell, 0, 0, theta)[ell], want, atol=1e-10)
+    for spin, least in ((0, 0), (2, 2)):
+        total = np.zeros((151, len(theta)))
+        for m in range(151):
+            for lam in harmonics.lambdas(150, m, theta, spin):
+                total[m:] += (1 if m == 0 else 2) * lam**2 * (2 if spin else 1) / (2 if spin else 1)
+        ells = np.arange(151)
+        want = (2 * ells + 1) / (4 * np.pi) * (ells >= least)
+        assert np.allclose(total, want[:, None], rtol=1e-9, atol=1e-12)
+    nside, lmax = 16, 31
+    a = harmonics.random_alm(np.ones(lmax + 1), 0, rng)
+    assert np.allclose(harmonics.least_squares(harmonics.synthesis(a, nside, lmax), nside, lmax), a, atol=1e-9)
+    e, b = (harmonics.random_alm(np.ones(lmax + 1), 2, rng) for _ in range(2))
+    got = harmonics.least_squares_spin2(*harmonics.synthesis_spin2(e, b, nside, lmax), nside, lmax)
+    assert np.allclose(got[0], e, atol=1e-9) and np.allclose(got[1], b, atol=1e-9)
+    x = rng.standard_normal(12 * nside**2)
+    w = np.array([1.0 if m == 0 else 2.0 for _, m in harmonics.pairs(lmax)])
+    assert np.isclose(np.sum(w * (harmonics.analysis(x, nside, lmax).conj() * a).real), harmonics.analysis_adjoint(a, nside, lmax) @ x)
+
+
+def test_harmonic_tables_equal_the_arrays(spark):
+    nside, lmax = 4, 7
+    lm = harmonics.pairs(lmax)
+    e, b = (harmonics.random_alm(np.ones(lmax + 1), 2, rng) for _ in range(2))
+    rows = [(k, ell, m, float(x[j].real), float(x[j].imag), float(y[j].real), float(y[j].imag)) for k, (x, y) in enumerate(((e, b), (b, 2 * e))) for j, (ell, m) in enumerate(lm)]
+    table = spark.createDataFrame(rows, "k int, l int, m int, e_re double, e_im double, b_re double, b_im double")
+    maps = harmonics.synthesis_table(table, ["k"], nside, lmax, ("e", "b"), ("q", "u"))
+    got = maps.orderBy("k", "pix").toPandas()
+    for k, (x, y) in enumerate(((e, b), (b, 2 * e))):
+        q, u = harmonics.synthesis_spin2(x, y, nside, lmax)
+        assert np.allclose(got[got.k == k].q, q) and np.allclose(got[got.k == k].u, u)
+    back = harmonics.adjoint_table(maps.where("pix <> 5"), ["k"], nside, lmax, ("q", "u"), ("e", "b")).where("k = 0").orderBy("m", "l").toPandas()
+    q, u = harmonics.synthesis_spin2(e, b, nside, lmax)
+    q[5] = u[5] = 0
+    we, wb = harmonics.adjoint_spin2(q, u, nside, lmax)
+    assert np.allclose(back.e_re + 1j * back.e_im, we) and np.allclose(back.b_re + 1j * back.b_im, wb)
+    none = harmonics.synthesis_table(table.where("k > 9"), ["k"], nside, lmax, ("e", "b"), ("q", "u"))
+    assert none.count() == 0
+
+
+def test_preconditioners_lead_to_the_same_solution():
+    nside, lmax = 2, 3
+    bands = [sampling.Band(rng.standard_normal(48), rng.random(48) + 0.5, np.exp(-0.1 * np.arange(lmax + 1) * s)) for s in (1.0, 2.0, 3.0)]
+    solver = sampling.AmplitudeSolver(bands, rng.random((3, 2)) + 0.2, np.full((2, lmax + 1), 2.0), nside, lmax)
+    want = solver.solve()
+    for kind in sampling.PRECONDITIONERS:
+        assert np.allclose(solver.solve(preconditioner=kind), want, atol=1e-6), kind
+    with pytest.raises(ValueError):
+        solver.preconditioner("other")
+
+
+def brute_jumps(x, flags, valid, n):
+    """One jump after the other, on samples that are corrected in place."""
+    x, found, skipped, i = x.copy(), [], 0, 0
+    while i < len(x):
+        if not flags[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(x) and flags[j]:
+            j += 1
+        before = [k for k in range(i) if valid[k]][-n:]
+        after = [k for k in range(j, len(x)) if valid[k]][:n]
+        if len(before) < n or len(after) < n:
+            skipped += 1
+        else:
+            offset = x[before].mean() - x[after].mean()
+            x[j:] += offset
+            found.append((j, offset))
+        i = j
+    return found, skipped
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.floats(-9, 9), st.sampled_from([0, 0, 0, 2, 1]), st.booleans()), max_size=40), st.integers(1, 4))
+def test_level_changes(rows, n):
+    x, flags, extra = (np.array([r[k] for r in rows]) for k in range(3))
+    flags = flags.astype(int) == 2
+    valid = ~flags & extra.astype(bool)
+    places, offsets, skipped = timelines.level_changes(x.astype(float), flags, valid, n)
+    want, left_out = brute_jumps(x.astype(float), flags, valid, n)
+    assert skipped == left_out and places.tolist() == [p for p, _ in want]
+    assert np.allclose(offsets, [o for _, o in want])
+
+
+def unbinned_samples(spark, scans=6, n=25):
+    rows = []
+    for s in range(scans):
+        for i in range(n):
+            rows.append((s, i, int(rng.integers(0, 12)), float(rng.random() * 3), float(rng.standard_normal()), 1.0 + s % 3))
+    return spark.createDataFrame(rows, "scan long, i long, pix long, psi double, tod double, sigma0 double")
+
+
+def test_unbinned_operator_is_symmetric_and_solved(spark):
+    """Against the dense matrix of P, T and N^-1; with a time constant the binned map is another one."""
+    x = unbinned_samples(spark)
+    model = unbinned.ScanModel(1.0, unbinned.white_without_mean, lambda f: 1 / (1 + 2j * np.pi * f * 0.7))
+    pdf = x.toPandas()
+    total, right = np.zeros((36, 36)), np.zeros(36)
+    for _, scan in pdf.groupby("scan"):
+        scan = scan.sort_values("i")
+        n = len(scan)
+        p = np.zeros((n, 36))
+        for k, (pix, psi) in enumerate(zip(scan.pix, scan.psi, strict=True)):
+            p[k, 3 * pix : 3 * pix + 3] = 1, np.cos(2 * psi), np.sin(2 * psi)
+        t = np.stack([model.transfer(e) for e in np.eye(n)], 1)
+        assert np.allclose(np.stack([model.transfer_adjoint(e) for e in np.eye(n)], 1), t.T)
+        inv = (np.eye(n) - 1 / n) / scan.sigma0.iloc[0] ** 2
+        total += p.T @ t.T @ inv @ t @ p
+        right += p.T @ t.T @ inv @ scan.tod.to_numpy()
+    flat = lambda df: df.orderBy("pix").select("s_i", "s_q", "s_u").toPandas().to_numpy().ravel()
+    assert np.allclose(flat(unbinned.right_side(x, ["scan"], model)), right)
+    sky = spark.createDataFrame([(k, *map(float, rng.standard_normal(3))) for k in range(12)], "pix long, s_i double, s_q double, s_u double")
+    assert np.allclose(flat(unbinned.left_side(x, ["scan"], model, sky, 12)), total @ flat(sky))
+    session.ensure_checkpoint_dir(spark)
+    got = flat(unbinned.solve(x, ["scan"], model, 12, 1e-8, 80))
+    assert np.allclose(total @ got, right, atol=1e-4)
+    white = unbinned.ScanModel(1.0, unbinned.white)
+    binned = mm.solve_maps(mm.normal_equations(x, ["pix"], F.lit(1.0) / (F.col("sigma0") * F.col("sigma0")), F.col("tod")), ["pix"])
+    assert np.allclose(flat(unbinned.solve(x, ["scan"], white, 12, 1e-10)), flat(binned), atol=1e-6)
+    assert not np.allclose(got, flat(binned), atol=1e-2)
+    with pytest.raises(ValueError):
+        model.data_side(np.array([1.0, np.nan]), 1.0)
+
+
+def test_long_codes_and_streams():
+    """Codes longer than the decoder's window, and streams of another length."""
+    counts = [(k, 2**k) for k in range(24)]
+    tree = codec.build_tree(counts)
+    codes = tree.codes()
+    assert max(n for _, n in codes.values()) > codec.WINDOW
+    x = np.array([0, 1, 23, 22, 0, 5, 3, 23, 0] * 40)
+    data = codec.encode(x, codes)
+    assert codec.decode(data, tree, len(x)).tolist() == x.tolist()
+    for wrong in (len(x) - 1, len(x) + 1):
+        with pytest.raises(ValueError):
+            codec.decode(data, tree, wrong)
+    with pytest.raises(ValueError):
+        codec.encode(np.array([99]), codes)
+
+
+def test_nested_pixels(spark):
+    """A nested pixel's parent is its number without the last two bits, as a bijection of all pixels."""
+    for nside in (2, 8):
+        got = spark.range(12 * nside**2).select("id", layouts.nested_to_ring(nside, F.col("id")).alias("pix"))
+        up = geo.with_coarser(got, nside, nside // 2).withColumnRenamed("pix", "up")
+        rows = got.join(up, "id").select("id", "pix", "up", layouts.nested_to_ring(nside // 2, F.floor(F.col("id") / 4)).alias("parent")).toPandas()
+        assert sorted(rows.pix) == list(range(12 * nside**2)) and (rows.up == rows.parent).all()
+
+
+def test_with_pixel_equals_the_expression(spark):
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(np.arccos(rng.uniform(-1, 1, 3000)), rng.uniform(-7, 14, 3000), strict=True)] + [(0.0, 0.0), (3.141592653589793, 6.3)], "t double, f double")
+    for nside in (1, 4, 64):
+        got = geo.with_pixel(df, nside, F.col("t"), F.col("f"), "p").select("p", geo.ang2pix(nside, F.col("t"), F.col("f")).alias("q")).toPandas()
+        assert (got.p == got.q).all()
+
+
+def test_selection_window_and_masks(spark):
+    on = {"enabled": True, "first": 2, "last": 4, "most_z": 5.0}
+    assert [calibration.selection_window(on, k, True)[0] for k in range(1, 6)] == [False, True, True, True, False]
+    assert not calibration.selection_window(on, 3, False)[0] and calibration.selection_window(on | {"needs_noise": False}, 3, False) == (True, 5.0, 0.1)
+    assert calibration.selection_window({}, 3, True) == (False, 1e4, 0.1)
+    m = spark.range(48).select(F.col("id").alias("pix"), F.lit(True).alias("keep"))
+    assert mm.keeps_all(mm.threshold_mask(m, 2, 1))
+
+
+def test_horizon(spark):
+    """At the pole azimuth is minus the hour angle and elevation the declination; a star's zenith is its latitude."""
+    df = spark.createDataFrame([(0.3, 0.7), (2.0, 1.2)], "az double, el double")
+    dec, ra = geo.celestial(F.col("az"), F.col("el"), np.pi / 2, F.lit(1.0))
+    got = df.select(dec.alias("dec"), ra.alias("ra"), "az", "el").toPandas()
+    assert np.allclose(got.dec, got.el) and np.allclose(np.mod(got.ra - 1.0 - (got.az - np.pi), 2 * np.pi) % (2 * np.pi), 0, atol=1e-9) or np.allclose(np.cos(got.ra - 1.0), -np.cos(got.az))
+    up = df.select(geo.celestial(F.lit(0.3), F.lit(np.pi / 2), -0.4, F.lit(2.0))[0].alias("dec")).first()
+    assert np.isclose(up.dec, -0.4)
+
+
+def test_component_views_round_trip(spark):
+    rows = [(c, p, ell, m, float(ell + m), float(m)) for c in (1, 2) for p in ("I", "E", "B") for ell in range(3) for m in range(ell + 1) if not (c == 2 and p != "I")]
+    a = spark.createDataFrame(rows, "comp int, pol string, l int, m int, re double, im double")
+    whole = components.joined(a)
+    back = components.split(whole, "I").unionByName(components.split(whole, "QU"))
+    assert sorted(map(tuple, back.select(a.columns).collect())) == sorted(rows)
+    assert components.unmatched(a, a.withColumn("comp", F.col("comp") + 1), ["comp", "pol"]).select("comp").distinct().collect()[0][0] in (2, 3)
+    with pytest.raises(Exception, match="no polarisation"):
+        components.views_of(spark.createDataFrame([("a", "A", "a", "V", True, 1)], "comp string, class string, short string, pol string, enabled boolean, lmax int")).collect()
+    assert components.full_lmax(64) == 160
+
+
+def test_chain_restarts(spark, tmp_path):
+    """A chain that goes on from its last iteration is the chain that was never stopped."""
+    rows = [(b, d, s, int(rng.integers(0, 12)), float(rng.random() * 3), 0.0, 1.0) for b in "AN" for d in range(2) for s in range(2) for _ in range(90)]
+    x = spark.createDataFrame(rows, "band string, det_id long, scan_id long, pix long, psi double, tod double, sigma0 double")
+    x = x.withColumn("tod", F.lit(2.0) * (F.col("pix") % 5 + 3.0) * (F.lit(1.0) + F.col("det_id") * 0.1) + F.cos(F.col("psi") * 9.0))
+    sky = spark.range(12).select(F.col("id").alias("pix"), (F.col("id") % 5 + 3.0).alias("s_i"), F.lit(0.0).alias("s_q"), F.lit(0.0).alias("s_u"))
+    mixing = spark.createDataFrame([("A", 1.0), ("N", 1.0)], "band string, m0 double")
+    chain = gibbs.Chain(spark, str(tmp_path / "chain"))
+    maps = gibbs.run(chain, x, sky, mixing, 1, 12, 2)
+    assert maps.count() == 24 and chain.last("gains").count() == 8 and chain.last("gains", 1).count() == 8
+    g = chain.last("gains", 1).groupBy("band").agg(F.max("g_abs").alias("a"), F.sum("g_rel").alias("r")).collect()
+    assert all(2.0 < r.a < 2.2 and abs(r.r) < 1e-6 for r in g)
+    fresh = gibbs.first_gains(x)
+    assert gibbs.resumed(fresh, None).where("g_abs = 1").count() == 8
+    assert gibbs.resumed(fresh, chain.last("gains").where("det_id = 0")).where("g_abs = 1").count() == 4
+
+
+def test_shared_folder_must_be_shared(spark, monkeypatch):
+    class Far:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Far()
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return None
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
