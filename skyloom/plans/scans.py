@@ -230,14 +230,14 @@ def unbinned_left_side(spark, d):
     return unbinned.left_side(_unbinned(spark, d), KEYS, _scan_model(), t.sky(spark), t.NPIX)
 
 
-@register("CGM-05 CGM-06 CGM-11 CGM-13", "pix", "s_i s_q s_u", ADJOINT.format("SELECT *, tod/pow(1e0 + det_id, 2) AS u FROM timeline"), 3)
+@register("CGM-05 CGM-06 CGM-11 CGM-13", "pix", "s_i s_q s_u", ADJOINT.format("SELECT *, tod/pow(1e0 + det_id, 2) AS u FROM timeline"), 1)
 def unbinned_solution(spark, d):
     """The solution, put back into the operator, gives the right side."""
     unbinned_path = shared_path(spark, "timeline")
     _unbinned(spark, d).write.parquet(unbinned_path)  # each iteration reads the samples from their table
     x = spark.read.parquet(unbinned_path)
     model = unbinned.ScanModel(1.0, unbinned.white, DELAY)
-    return unbinned.left_side(x, KEYS, model, unbinned.solve(x, KEYS, model, t.NPIX, 1e-8), t.NPIX)
+    return unbinned.left_side(x, KEYS, model, unbinned.solve(x, KEYS, model, t.NPIX, 1e-6), t.NPIX)
 
 
 STATS = """SELECT band, det_id, scan_id, avg(CASE WHEN flag = 0 THEN 1e0 ELSE 0e0 END) AS gf, count(CASE WHEN flag = 0 THEN 1 END) AS n,
