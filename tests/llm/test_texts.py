@@ -7,7 +7,7 @@ import time
 
 import duckdb
 import pytest
-from skyloom.llm import html_extract, license_scan, queries
+from skyloom.llm import html_extract, license_scan, license_texts, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,8 +138,34 @@ def test_licence_forms(spark, documents, empty):
         None,
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.doc_id, r.line_no, r.license) for r in license_scan.scan(docs).collect())
-    assert got == [(0, 0, "MIT"), (1, 0, "MIT"), (3, 2, "MIT"), (4, 0, "Apache-2.0"), (4, 1, "Apache-2.0")]
+    got = sorted((r.doc_id, r.unit, r.line_no, r.license) for r in license_scan.scan(docs).collect())
+    assert got == [(0, "text", 0, "MIT"), (1, "text", 0, "MIT"), (3, "line", 2, "MIT"), (4, "line", 1, "Apache-2.0"), (4, "text", 0, "Apache-2.0")]
+
+
+def test_notices_and_spellings(spark):
+    """Header notices as paragraphs of a file, in comment signs, and every pair of equivalent words, in Spark and in SQL."""
+    notice = license_texts._APACHE_NOTICE
+    gpl = next(t for n, t in license_scan.KNOWN if n == "GPL-3.0" and t.startswith("This program is free") and "later" in t and len(t) < 400)
+    words = gpl.split(" ")
+    lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+    texts = [
+        "# " + "\n# ".join(notice.split("\n")),
+        "import os\n\n\t\n" + "\n".join(f" * {x.strip()}" for x in lines) + "\n \nmore code\nand more",
+        license_texts._UNLICENSE.replace("recognize", "recognise").replace("non-commercial", "noncommercial") + license_texts._UNLICENSE_END.replace("https", "http"),
+        license_texts._ZLIB.replace("acknowledgment", "acknowledgement").upper(),
+    ]
+    documents = spark.createDataFrame([*enumerate(texts), (None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.unit, r.line_no, r.license) for r in license_scan.scan(documents).collect())
+    want = [("0", "text", 0, "Apache-2.0"), ("1", "paragraph", 4, "GPL-3.0"), ("2", "text", 0, "Unlicense"), ("3", "text", 0, "Zlib"), ("3", "text", 0, "Zlib"), ("None", "text", 0, "Apache-2.0")]
+    assert [x for x in got if x[1] != "paragraph" or x[0] == "1"] == want
+    for a, b in license_scan.SAME_WORDS:
+        assert license_scan.canonical(f"x {a.upper()}, y") == license_scan.canonical(f"X {b} y")
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas().astype({"doc_id": "Int64"}))
+    assert sorted((str(r[0]), *r[1:4]) for r in con.sql(license_scan.scan_sql()).fetchall()) == got
+
+
+def test_no_licences_in_odd_texts(documents, empty):
     assert license_scan.scan(documents).count() == 0 and license_scan.scan(empty).count() == 0
 
 
@@ -153,7 +179,7 @@ def test_whole_licence_texts(spark):
     rows += [(20, texts["GPL-3.0"].split("END OF TERMS")[0]), (21, texts["GPL-3.0"] + " and more")]
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(tuple(r) for r in license_scan.scan(documents).collect())
-    whole = {r[0]: r[2] for r in got if r[1] == 0}
+    whole = {r[0]: r[3] for r in got if r[1] == "text"}
     assert whole == dict(enumerate(names)) | {10 + i: n for i, n in enumerate(names)} | {20: "GPL-3.0"}
     con = duckdb.connect()
     con.register("documents", documents.toPandas())
