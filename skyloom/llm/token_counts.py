@@ -102,9 +102,14 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
-    """One row: tokens left when every document is cut at *limit*, for any limit."""
-    longer = F.col("n_tokens") >= limit
-    return sums.agg(F.coalesce(F.sum(F.when(longer, F.col("n_docs") * limit).otherwise(F.col("n_docs") * F.col("n_tokens"))), F.lit(0)).alias("truncated_tokens"))
+    """One row: tokens left when every document is cut at *limit*, for any limit.
+
+    A look-up of two rows: the first length has all tokens behind it, the first one that is not
+    below the limit those of the documents that are cut.
+    """
+    behind = F.struct(F.col("docs_at_least").alias("docs"), F.col("tokens_at_least").alias("tokens"))
+    at = sums.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("all"), F.min_by(behind, F.when(F.col("n_tokens") >= limit, F.col("n_tokens"))).alias("cut"))
+    return at.select((F.col("all") - F.coalesce("cut.tokens", F.lit(0)) + F.coalesce("cut.docs", F.lit(0)) * limit).alias("truncated_tokens"))
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
