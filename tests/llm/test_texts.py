@@ -209,6 +209,45 @@ def test_pipeline_against_its_operators(spark):
     assert len(clean & first) >= 0.95 * len(clean)
 
 
+def test_pipeline_against_brute_force(spark):
+    """The dedup stages and the packing of run() by other means: texts compared with each other, the library's tokenizer."""
+    import public_tokenizers
+    from test_dedup import brute_fingerprint, norm
+    from test_tokens import check_pieces
+    from tokenizers import Tokenizer
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    judged = pipeline.quality_rules_stage(spark, pipeline.quality_classifier(spark, docs, sf), sf).select("doc_id", "text").collect()
+    best = {}
+    for r in judged:
+        key = (-len(r.text or ""), r.doc_id)
+        best[norm(r.text)] = min(best.get(norm(r.text), key), key)
+    left = sorted((r for r in judged if best[norm(r.text)][1] == r.doc_id), key=lambda r: r.doc_id)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in left]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    prints = [brute_fingerprint(r.text) for r in left]
+    parent = list(range(len(left)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i in range(len(left)):
+        for j in range(i):
+            common = len(shingles[i] & shingles[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or words[i] and 5 * common >= 4 * (len(shingles[i]) + len(shingles[j]) - common):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    kept = {r.doc_id: r.text for i, r in enumerate(left) if root(i) == i}
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in kept.items()}
+    got = pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(kept) and 0 < len(kept) < len(judged) < docs.count()
+    check_pieces(got, ids, 0.1 * sum(map(len, ids.values())))
+
+
 def test_stages_keep_the_columns(spark, documents, labels, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
