@@ -112,6 +112,12 @@ def residual(data: DataFrame, sky: DataFrame, active: list[str]) -> DataFrame:
     return data.join(fixed, ["band", "pix"], "left").select("band", "pix", (F.col("value") - F.coalesce("_fixed", F.lit(0.0))).alias("value"))
 
 
+def scaled_sum(a: DataFrame, b: DataFrame, factor: float, keys: list[str]) -> DataFrame:
+    """Coefficients a + factor b where both have them."""
+    other = b.select(*keys, F.col("re").alias("_re"), F.col("im").alias("_im"))
+    return a.join(other, keys).select(*keys, *((F.col(c) + F.col(f"_{c}") * factor).alias(c) for c in ("re", "im")))
+
+
 def prior_root(amplitudes: DataFrame, spectrum: Column, inverse: bool = False) -> DataFrame:
     """Amplitudes times the root of a prior spectrum of l; the inverse leaves 0 where there is none."""
     root = F.sqrt(F.when(spectrum > 0, spectrum))

@@ -419,6 +419,12 @@ def gibbs_second_iteration(spark, d):
     return _chain(spark, d, 2).last("maps")
 
 
+@register("SHT-23", "vec_id l m", "re im", "SELECT a.vec_id, a.l, a.m, a.re + 25e-2*b.re AS re, a.im + 25e-2*b.im AS im FROM alm a JOIN alm b ON b.vec_id = a.vec_id + 1 AND b.l = a.l AND b.m = a.m", 6)
+def alm_scaled_sum(spark, d):
+    a = t.alm(spark, d)
+    return comp.scaled_sum(a, a.withColumn("vec_id", F.col("vec_id") - 1), 0.25, ["vec_id", "l", "m"])
+
+
 VIEWS = "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'E' ELSE 'B' END AS pol, vec_id//3 AS comp, l, m, re, im FROM alm"
 
 

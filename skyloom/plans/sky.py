@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as geo
 from skyloom.functions import spectra as sp
+from skyloom.operators.mapmaking import small
 from skyloom.plans.registry import register
 from skyloom.sources import driver_tables as t
 
@@ -35,7 +36,7 @@ def spectral_energy(spark, d):
     )
 
 
-@register("SKY-27 SRC-11", "band unit", "factor", f"""SELECT band, unit, CASE unit WHEN 'uK_RJ' THEN 1e0 WHEN 'mK_RJ' THEN 1e-3 WHEN 'K_RJ' THEN 1e-6 WHEN 'uK_CMB' THEN 1e0/p WHEN 'mK_CMB' THEN 1e-3/p WHEN 'K_CMB' THEN 1e-6/p
+@register("SKY-27", "band unit", "factor", f"""SELECT band, unit, CASE unit WHEN 'uK_RJ' THEN 1e0 WHEN 'mK_RJ' THEN 1e-3 WHEN 'K_RJ' THEN 1e-6 WHEN 'uK_CMB' THEN 1e0/p WHEN 'mK_CMB' THEN 1e-3/p WHEN 'K_CMB' THEN 1e-6/p
     ELSE 2e0*1380649e-29*pow(nu*1e9, 2)/pow(299792458e0, 2)*1e20*1e-6 END AS factor FROM (SELECT *, pow(x, 2)*exp(x)/pow(exp(x) - 1e0, 2) AS p FROM
     (SELECT band, nu, 1e9*{HK}/27255e-4*nu AS x FROM bands) b0) b CROSS JOIN (SELECT unnest(['uK_RJ', 'mK_RJ', 'K_RJ', 'uK_CMB', 'mK_CMB', 'K_CMB', 'MJy/sr']) AS unit) u""", 10)
 def unit_factors(spark, d):
@@ -79,7 +80,7 @@ def inversion_sampler(spark, d):
     return hit.select("draw", F.when(F.col("c0").isNull(), F.col("x")).otherwise(F.col("x0") + (F.col("x") - F.col("x0")) * (F.col("u") - F.col("c0")) / (F.col("c") - F.col("c0"))).alias("x"))
 
 
-@register("SIM-09 SIM-10 CGM-02", "k", "re im mre mim", """SELECT k, 1e0/(1e0 + w*w) AS re, -w/(1e0 + w*w) AS im, 75e-2/(1e0 + w*w) + 25e-2/(1e0 + 4e0*w*w) AS mre, -75e-2*w/(1e0 + w*w) - 25e-2*2e0*w/(1e0 + 4e0*w*w) AS mim
+@register("SIM-09 SIM-10", "k", "re im mre mim", """SELECT k, 1e0/(1e0 + w*w) AS re, -w/(1e0 + w*w) AS im, 75e-2/(1e0 + w*w) + 25e-2/(1e0 + 4e0*w*w) AS mre, -75e-2*w/(1e0 + w*w) - 25e-2*2e0*w/(1e0 + 4e0*w*w) AS mim
     FROM (SELECT range AS k, 2e0*pi()*range*1e-1*5e-2 AS w FROM range(100)) q""", 9)
 def transfer_functions(spark, d):
     f = F.col("id") * 1e-1
@@ -102,7 +103,7 @@ def beams_and_priors(spark, d):
     )
 
 
-@register("SHT-06 SHT-07 SKY-14 SKY-16 SNK-02", "vec_id l m", "re im", f"SELECT vec_id, l, m, re*exp(-5e-1*l*(l + 1e0)*{SIG}*{SIG}*1e2) AS re, im*exp(-5e-1*l*(l + 1e0)*{SIG}*{SIG}*1e2) AS im FROM alm WHERE l > 2 AND l <= 6", 6)
+@register("SHT-06 SHT-07", "vec_id l m", "re im", f"SELECT vec_id, l, m, re*exp(-5e-1*l*(l + 1e0)*{SIG}*{SIG}*1e2) AS re, im*exp(-5e-1*l*(l + 1e0)*{SIG}*{SIG}*1e2) AS im FROM alm WHERE l > 2 AND l <= 6", 6)
 def alm_filtered(spark, d):
     from skyloom.operators import multipoles as mp
 
@@ -159,7 +160,7 @@ def point_source_adjoint(spark, d):
     return so.source_values(b, t.sky(spark).select("pix", F.col("s_i").alias("value")))
 
 
-@register("SKY-25 SKY-26 SIM-18 SIM-23 SKY-15", "band pix", "value", f"""SELECT band, pix, s_i*pow(nu/3e1, -31e-1) + 2e0*s_i*pow(nu/545e0, 255e-2)*(exp(1e9*{HK}/195e-1*545e0) - 1e0)/(exp(1e9*{HK}/195e-1*nu) - 1e0) + (s_q*s_q)*pow(1e9*{HK}/27255e-4*nu, 2)*exp(1e9*{HK}/27255e-4*nu)/pow(exp(1e9*{HK}/27255e-4*nu) - 1e0, 2) AS value
+@register("SKY-26 SIM-18 SIM-23", "band pix", "value", f"""SELECT band, pix, s_i*pow(nu/3e1, -31e-1) + 2e0*s_i*pow(nu/545e0, 255e-2)*(exp(1e9*{HK}/195e-1*545e0) - 1e0)/(exp(1e9*{HK}/195e-1*nu) - 1e0) + (s_q*s_q)*pow(1e9*{HK}/27255e-4*nu, 2)*exp(1e9*{HK}/27255e-4*nu)/pow(exp(1e9*{HK}/27255e-4*nu) - 1e0, 2) AS value
     FROM sky CROSS JOIN bands""", 6)
 def sky_model_bands(spark, d):
     nu = F.col("nu")
@@ -168,7 +169,7 @@ def sky_model_bands(spark, d):
     return x.select("band", "pix", F.posexplode(parts).alias("comp", "v")).groupBy("band", "pix").agg(F.sum("v").alias("value"))
 
 
-@register("SIM-01 SIM-03", "sample pix", "psi", "SELECT range AS sample, (range//40 % 6)*8 + CAST(floor((range % 40)/4e1*8e0) AS BIGINT) AS pix, pi()*((range % 40)/4e1) AS psi FROM range(120, 1000)", 9)
+@register("SIM-01", "sample pix", "psi", "SELECT range AS sample, (range//40 % 6)*8 + CAST(floor((range % 40)/4e1*8e0) AS BIGINT) AS pix, pi()*((range % 40)/4e1) AS psi FROM range(120, 1000)", 9)
 def raster_scan(spark, d):
     from skyloom.operators import simulation as sim
 
@@ -218,7 +219,7 @@ def solar_dipole_alm(spark, d):
     return spark.createDataFrame(rows, "m int, re double, im double")
 
 
-@register("SNK-09 ORC-10", "band pix", "residual", """SELECT band, pix, avg(tod) - min(s_i) AS residual FROM samples JOIN sky USING (pix) WHERE flag = 0 GROUP BY 1, 2""", 5)
+@register("ORC-10", "band pix", "residual", """SELECT band, pix, avg(tod) - min(s_i) AS residual FROM samples JOIN sky USING (pix) WHERE flag = 0 GROUP BY 1, 2""", 5)
 def map_residual(spark, d):
     m = t.samples(spark, d).where("flag = 0").groupBy("band", "pix").agg(F.avg("tod").alias("v"))
-    return m.join(F.broadcast(t.sky(spark)), "pix").select("band", "pix", (F.col("v") - F.col("s_i")).alias("residual"))
+    return m.join(small(t.sky(spark), t.NPIX), "pix").select("band", "pix", (F.col("v") - F.col("s_i")).alias("residual"))
