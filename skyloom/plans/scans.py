@@ -31,9 +31,9 @@ def _scan_samples(spark, d):
     return x.select(F.lit("A").alias("band"), F.col("scan_day").alias("scan_id"), "det_id", "i", "tod", "pix", "psi", "flag", (F.col("det_id") * 40.0 + 10.0).alias("gain"), (F.col("det_id") + 1.0).alias("sigma0"))
 
 
-def _files(spark, d, **options) -> str:
+def _files(spark, d) -> str:
     path = shared_path(spark, "scans")
-    layouts.write_scans(_scan_samples(spark, d), path, t.NSIDE, 4096, 1.0, **options)
+    layouts.write_scans(_scan_samples(spark, d), path, t.NSIDE, 4096, 1.0)
     return path
 
 
@@ -61,11 +61,15 @@ def satellite_scans(spark, d):
 
 
 @register("SRC-03", SCAN, VALUES, f"""WITH {FILE}, e AS (SELECT min(scan_id) + 5 AS a, max(scan_id) - 5 AS b FROM f)
-    SELECT scan_id, det_id, {SUMS.format(x="whole", g="")} FROM f, e WHERE gain <= 1e2 AND scan_id BETWEEN a AND b GROUP BY 1, 2 HAVING avg(CASE WHEN (flag & 1) = 0 THEN 1e0 ELSE 0e0 END) >= 9e-1""", 6)
+    SELECT scan_id, det_id, {SUMS.format(x="whole", g="")} FROM f, e WHERE gain <= 1e2 AND scan_id BETWEEN a AND b GROUP BY 1, 2 HAVING avg(CASE WHEN i % (CASE WHEN scan_id % 2 = 0 THEN 5 ELSE 20 END) = 0 THEN 0e0 ELSE 1e0 END) >= 9e-1""", 6)
 def ground_scans(spark, d):
-    """Coded timelines, a range that includes its last scan, a cut by gain."""
+    """Coded timelines, a range that includes its last scan, cuts by gain and by a bit that every second scan has too often."""
     lo, hi = t.timeline(spark, d).agg(F.min("scan_day") + 5, F.max("scan_day") - 5).first()
-    return _summary(readers.read_samples("ground", spark, _files(spark, d, coded_tod=True), bits=1, first=lo, last=hi))
+    often = F.when(F.col("scan_id") % 2 == 0, 5).otherwise(20)
+    path = shared_path(spark, "scans")
+    marked = F.when(F.col("i") % often == 0, F.col("flag") + 4).otherwise(F.col("flag")).cast("int")
+    layouts.write_scans(_scan_samples(spark, d).withColumn("flag", marked), path, t.NSIDE, 4096, 1.0, coded_tod=True)
+    return _summary(readers.read_samples("ground", spark, path, bits=4, first=lo, last=hi))
 
 
 @register("SRC-05", SCAN, VALUES, f"""WITH {FILE} SELECT scan_id, det_id, {SUMS.format(x="tod", g="").replace("sum(psi)", "0e0")} FROM f GROUP BY 1, 2
