@@ -3,9 +3,9 @@
 Training is Baum-Welch over all training documents: each partition runs forward-backward over
 its whole texts with the current parameters and sends its expected counts, which are summed by
 symbol in a shuffle; the driver gets one row a symbol.  A state emits the end of the text or a
-word's symbol, one of 65 535 hashed ones, at every size of the corpus alike; a word has its
-smoothed share of its symbol's training tokens, so every word has a probability under every
-state.  Scoring is the exact scaled forward recursion over whole texts.
+word's symbol, a hash; a word has its smoothed share of its symbol's training tokens, so every
+word has a probability under every state.  There are as many symbols as leave at least two
+distinct training words to each, so few are unseen, and 65 536 at most.  Scoring is the exact scaled forward recursion over whole texts.
 
 What grows with the corpus, the word counts, stays distributed: the counts of a bounded
 number of frequent words are broadcast, which saves their tokens a join and changes no result;
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import Scratch, arrow_map, lower_words, text_bytes
 
-#: Symbols that states emit: the end of a text (0) and hashes of words.
-SYMBOLS = 1 << 16
+#: Symbols that states emit, at least and at most: the end of a text (0) and hashes of words.
+SYMBOLS = (16, 1 << 16)
 #: Words whose counts are broadcast; the others' are joined.
 COUNTED = 200_000
 #: Tokens that the recursions hold at a time; texts above it are cut for memory, with their messages carried over the cuts.
@@ -38,8 +38,13 @@ RESCALE = 4
 _END = b""  # no word is empty
 
 
-def word_symbol(word: bytes) -> int:
-    return 1 + zlib.crc32(word) % (SYMBOLS - 1)
+def word_symbol(word: bytes, symbols: int) -> int:
+    return 1 + zlib.crc32(word) % (symbols - 1)
+
+
+def symbol_number(distinct: int) -> int:
+    """A power of two, at most half the number of distinct words, within the bounds."""
+    return min(SYMBOLS[1], max(SYMBOLS[0], 1 << max(0, distinct.bit_length() - 2)))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """(word, symbol, n) over the training rows' tokens; the end of a text is the empty word, symbol 0."""
+    """(word, n) over the training rows' tokens; the end of a text is the empty word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -69,8 +74,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
             yield flush()
 
     partial = rows.where("not held_out").select("text").mapInArrow(count, "word binary, n long")
-    symbol = F.when(F.octet_length("word") == 0, F.lit(0)).otherwise(1 + F.crc32("word") % (SYMBOLS - 1))
-    return partial.groupBy("word").agg(F.sum("n").alias("n")).select("word", symbol.cast("int").alias("symbol"), "n")
+    return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -95,9 +99,11 @@ class Lexicon:
 def lexicon(counts: DataFrame, counted: int = COUNTED) -> Lexicon:
     words = counts.where(F.octet_length("word") > 0)
     top = words.orderBy(F.col("n").desc(), "word").limit(counted).select("word", "n").toArrow()
-    tokens, types = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
-    # one row a symbol, of which there are SYMBOLS
-    by_symbol = counts.groupBy("symbol").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()
+    number = symbol_number(counts.count())
+    tokens, types = np.zeros(number), np.zeros(number)
+    symbol = F.when(F.octet_length("word") == 0, F.lit(0)).otherwise(1 + F.crc32("word") % (number - 1)).cast("int")
+    # one row a symbol
+    by_symbol = counts.groupBy(symbol.alias("symbol")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow()
     at = by_symbol.column("symbol").to_numpy()
     tokens[at], types[at] = by_symbol.column("n").to_numpy(), by_symbol.column("words").to_numpy()
     return Lexicon(top.column("word").to_pylist(), top.column("n").to_numpy(), int(tokens.sum()), int(types.sum()), int(tokens[0]), tokens, types)
@@ -114,7 +120,7 @@ def encode(rows: DataFrame, lex: Lexicon) -> DataFrame:
     def run(c: dict[str, list]) -> dict[str, list]:
         lex = shipped.value
         known, symbols = _places(lex)
-        logs, crc = np.log10(lex.counts + 1.0), zlib.crc32
+        logs, crc, number = np.log10(lex.counts + 1.0), zlib.crc32, len(lex.symbol_tokens)
         out: dict[str, list] = {n: [] for n in ("ids", "n_tokens", "n_known", "log_counts", "rare")}
         for text in c["text"]:
             words = lower_words(text)
@@ -123,7 +129,7 @@ def encode(rows: DataFrame, lex: Lexicon) -> DataFrame:
             ids[:-1] = symbols[at]
             others = np.flatnonzero(at < 0)
             rare = [words[i] for i in others.tolist()]
-            ids[others] = [1 + crc(w) % (SYMBOLS - 1) for w in rare]
+            ids[others] = [1 + crc(w) % (number - 1) for w in rare]
             counted = at[at >= 0]
             out["ids"].append(ids.tobytes())
             out["n_tokens"].append(len(ids))
@@ -142,7 +148,7 @@ _PLACES: dict[int, tuple[Lexicon, dict[bytes, int], np.ndarray]] = {}
 def _places(lex: Lexicon) -> tuple[dict[bytes, int], np.ndarray]:
     held = _PLACES.get(0)
     if held is None or held[0] is not lex:
-        symbols = np.array([*map(word_symbol, lex.words), 0], "<u2")
+        symbols = np.array([*(word_symbol(w, len(lex.symbol_tokens)) for w in lex.words), 0], "<u2")
         held = _PLACES[0] = (lex, {w: i for i, w in enumerate(lex.words)}, symbols)
     return held[1], held[2]
 
@@ -347,12 +353,14 @@ def counts_of(model: Model, ids: np.ndarray, offsets: np.ndarray, size: int = BA
     return sums
 
 
-def baum_welch(tokens: DataFrame, lex: Lexicon, states: int, rounds: int, prior: float = 20.0) -> Model:
+def baum_welch(tokens: DataFrame, lex: Lexicon, states: int, rounds: int, prior: float | None = None) -> Model:
     """Train on the rows of *tokens* that are not held out: one distributed E-step a round.
 
     A round's shuffle carries at most a row for each symbol and task; the driver gets the sums,
-    ``SYMBOLS + states + 1`` rows.  *prior* tokens a state follow the unigram distribution.
+    one row a symbol and state and one more.  *prior* tokens a state follow the unigram distribution;
+    without it, one for each distinct word and all states together.
     """
+    prior = lex.distinct / states if prior is None else prior
     context = tokens.sparkSession.sparkContext
     model = first_model(lex, states)
     unigram = (lex.symbol_tokens + 1.0) / (lex.symbol_tokens + 1.0).sum()

@@ -196,6 +196,10 @@ def test_forward_and_expected_counts_against_enumeration(monkeypatch, size, piec
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, (starts, moves, emits), strict=True))
 
 
+def test_number_of_symbols():
+    assert [hmm_lm.symbol_number(n) for n in (0, 1, 30, 64, 127, 128, 10**5, 10**9)] == [16, 16, 16, 32, 32, 64, 32768, 65536]
+
+
 def test_long_sequences_do_not_underflow():
     rng = np.random.default_rng(8)
     emit = np.full((4, 2), 1e-7)
@@ -231,14 +235,14 @@ def test_score_is_the_sum_over_all_paths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = [(t or "").encode().split() + [b""] for t in texts]
     counts = Counter(w for i, ws in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
-    symbol = lambda w: hmm_lm.word_symbol(w) if w else 0
+    _, lex, _, model = hmm_lm.train(docs, Scratch(spark, "t"), states=2, rounds=2)
+    symbol = lambda w: hmm_lm.word_symbol(w, len(lex.symbol_tokens)) if w else 0
     in_symbol, kinds = Counter(), Counter()
     for w, c in counts.items():
         in_symbol[symbol(w)] += c
         kinds[symbol(w)] += 1
     share = lambda w: (counts[w] + 1) / (in_symbol[symbol(w)] + kinds[symbol(w)] + 1) if w else 1.0
     got = {r.doc_id: r for r in hmm_lm.score(docs, states=2, rounds=2, counted=3).collect()}
-    _, _, _, model = hmm_lm.train(docs, Scratch(spark, "t"), states=2, rounds=2)
     # every state gives all words, known or not, at most probability one together
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1) and (model.emit > 0).all()
     for i, ws in enumerate(words):
