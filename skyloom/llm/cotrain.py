@@ -66,8 +66,8 @@ def _packed(view: Sparse) -> tuple[bytes, bytes]:
     return np.array(view[0], "<u2").tobytes(), np.array(view[1], "<f4").tobytes()
 
 
-def featured(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """A table of all rows: ``doc`` (the row as it is), doc_id and the packed features of both views."""
+def featured(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """A table of all rows: doc_id and the packed features of both views, and ``doc``, the *whole* row as it is, if wanted."""
     types = dict(docs.dtypes)
     meta = [F.col(c).cast(t) if c in types else F.lit(None).cast(t) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
 
@@ -78,8 +78,8 @@ def featured(docs: DataFrame, scratch: Scratch) -> DataFrame:
             packed.append((*_packed(text_view(t)), *_packed(meta_view(s, w, None if pd.isna(n) else int(n)))))
         return pd.DataFrame(packed, columns=["tc", "tv", "mc", "mv"])
 
-    made = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), views(F.coalesce("text", F.lit("")).cast("binary"), *meta).alias("f"))
-    return scratch.write(made.select("doc", "doc_id", "f.*"), "features")
+    made = docs.select(*([F.struct("*").alias("doc")] if whole else []), F.col("doc_id").cast("long").alias("doc_id"), views(F.coalesce("text", F.lit("")).cast("binary"), *meta).alias("f"))
+    return scratch.write(made.select(*made.columns[:-1], "f.*"), "features")
 
 
 @dataclass
@@ -378,7 +378,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     a value like any other.  Without labels every other document scores one half and is kept;
     repeated rows each get a row.
     """
-    table = featured(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "source", "lang", "n_chars")]), Scratch(docs.sparkSession, "cotrain")).drop("doc")
+    table = featured(docs, Scratch(docs.sparkSession, "cotrain"))
     model = fit(table, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +392,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of *docs*, all columns, that the classifier keeps, decided row by row."""
-    table = featured(docs, Scratch(docs.sparkSession, "cotrain"))
+    table = featured(docs, Scratch(docs.sparkSession, "cotrain"), whole=True)
     return table.where(_keep(fit(table, labels, **options), threshold)).select("doc.*")
 
 
