@@ -279,6 +279,13 @@ def _rows_of(batch: pa.RecordBatch | pa.Table) -> dict[str, Rows]:
     return {v: Rows.unpack(batch.column(f"{v[0]}c"), batch.column(f"{v[0]}v")) for v in WIDTH}
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, for their features take several times their packed size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _rank(log_odds: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(log_odds * RANKS), -LIMIT * RANKS, LIMIT * RANKS - 1).astype(np.int64)
 
@@ -308,7 +315,7 @@ def exchange(pool: DataFrame, views: dict[str, View], share: float, prior: float
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {v: np.zeros(2 * LIMIT * RANKS, np.int64) for v in WIDTH}
-        for batch in batches:
+        for batch in _sliced(batches):
             for v, x in _rows_of(batch).items():
                 counts[v] += np.bincount(_rank(shipped.value[v].log_odds(x)) + LIMIT * RANKS, minlength=2 * LIMIT * RANKS)
         for v, c in counts.items():
@@ -322,7 +329,7 @@ def exchange(pool: DataFrame, views: dict[str, View], share: float, prior: float
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {v: Handed.none(v).flat() for v in WIDTH}
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = _rows_of(batch)
             for giver, x in rows.items():
                 rank, (low, high) = _rank(shipped.value[giver].log_odds(x)), bounds[giver]
@@ -382,7 +389,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     model = fit(table, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             scores = _scores(model, _rows_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, scores.values())], names=["doc_id", *scores])
 
@@ -399,7 +406,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
 def _keep(model: Model, threshold: float) -> Column:
     @F.pandas_udf("boolean")
     def keep(tc: pd.Series, tv: pd.Series, mc: pd.Series, mv: pd.Series) -> pd.Series:
-        packed = dict(zip(("tc", "tv", "mc", "mv"), (pa.array(x, pa.binary()) for x in (tc, tv, mc, mv)), strict=True))
-        return pd.Series(_scores(model, {v: Rows.unpack(packed[f"{v[0]}c"], packed[f"{v[0]}v"]) for v in WIDTH})["score"] >= threshold)
+        packed = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (tc, tv, mc, mv)], names=["tc", "tv", "mc", "mv"])
+        kept = [_scores(model, _rows_of(part))["score"] >= threshold for part in _sliced(iter([packed]))]
+        return pd.Series(np.concatenate(kept) if kept else np.zeros(0, bool))
 
     return keep("tc", "tv", "mc", "mv")
