@@ -562,3 +562,15 @@ def test_shared_folder_must_be_shared(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Session())
+
+
+def test_diagnostics_without_pixels(spark, tmp_path):
+    """With every scan rejected the maps are empty, not unreadable; a band's name stays a string."""
+    x = spark.createDataFrame([("30", k % 2, 0.3 * k) for k in range(6)], "band string, pix long, psi double")
+    for least, want in ((0, {("30", 0), ("30", 1)}), (9, set())):
+        kept = x.groupBy("band").count().where(F.col("count") >= least)
+        equations = mm.fused_equations(x, kept, ["band"], ["band", "pix"], F.lit(1.0), {"s": F.col("psi")})
+        path = str(tmp_path / f"maps{least}")
+        schema = sinks.write_diagnostics(equations, mm.solve_fused(equations, ["band", "pix"], ("s",)), path)
+        got = spark.read.schema(schema).parquet(path)
+        assert {(r.band, r.pix) for r in got.collect()} == want and "s_rms" in got.columns
