@@ -1,5 +1,7 @@
 """Operators that SQL cannot express, and edge cases of the others, against numpy or by hand."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -425,6 +427,21 @@ def test_level_changes(rows, n):
     assert np.allclose(offsets, [o for _, o in want])
 
 
+def stairs(jumps):
+    """Three samples of a level, then a flagged one after which the level is one higher."""
+    i = np.arange(4 * (jumps + 1))
+    return i, (i // 4).astype(float), np.where((i % 4 == 3) & (i < 4 * jumps), 2, 0)
+
+
+def test_level_changes_of_many_jumps():
+    """A jump's offset takes its own two windows, not a pass over all earlier jumps."""
+    _, x, flags = stairs(4000)
+    began = time.process_time()
+    places, offsets, skipped = timelines.level_changes(x, flags != 0, flags == 0, 3)
+    assert time.process_time() - began < 20
+    assert skipped == 0 and places.tolist() == list(range(4, 16001, 4)) and (offsets == -1).all()
+
+
 def unbinned_samples(spark, scans=6, n=25):
     rows = []
     for s in range(scans):
