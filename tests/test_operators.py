@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -591,3 +592,15 @@ def test_diagnostics_without_pixels(spark, tmp_path):
         schema = sinks.write_diagnostics(equations, mm.solve_fused(equations, ["band", "pix"], ("s",)), path)
         got = spark.read.schema(schema).parquet(path)
         assert {(r.band, r.pix) for r in got.collect()} == want and "s_rms" in got.columns
+
+
+def test_many_jumps_are_applied(spark):
+    """A scan with 4000 jumps, its catalogue packed and unpacked, comes back to its first level."""
+    i, x, flags = stairs(4000)
+    rows = pd.DataFrame({"scan": 1, "i": i, "tod": x, "flag": flags, "valid": flags == 0})
+    df = spark.createDataFrame(rows)
+    began = time.perf_counter()
+    catalogue = timelines.unpack_jumps(timelines.pack_jumps(timelines.detect_jumps(df, ["scan"], "tod", 2, 3), ["scan"]), ["scan"])
+    got = timelines.apply_jumps(df, catalogue, ["scan"], "tod").where("valid").toPandas()
+    assert time.perf_counter() - began < 40
+    assert len(got) == 12004 and (got.corrected == 0).all()
