@@ -88,7 +88,10 @@ def live(bits: int, least_good: float, largest_mean: float | None = None, larges
     x = F.transform("tod", lambda v: v.cast("double"))
     total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v))
     mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.sqrt(F.greatest(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n, F.lit(0.0)))
+    # the mean stands in the first state, since a lambda evaluates what it holds again for each sample
+    start = F.struct(mean.alias("mean"), F.lit(0.0).alias("sum"))
+    squares = F.aggregate(x, start, lambda a, v: F.struct(a["mean"].alias("mean"), (a["sum"] + (v - a["mean"]) * (v - a["mean"])).alias("sum")), lambda a: a["sum"])
+    spread = F.sqrt(F.greatest(squares / n, F.lit(0.0)))
     good = F.size(F.filter("flag", lambda f: f.bitwiseAND(F.lit(bits)) == 0)) / n
     keep = (n > 0) & F.forall("tod", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))) & (total > 0) & (good >= least_good)
     if largest_mean is not None:

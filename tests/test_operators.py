@@ -604,3 +604,13 @@ def test_many_jumps_are_applied(spark):
     got = timelines.apply_jumps(df, catalogue, ["scan"], "tod").where("valid").toPandas()
     assert time.perf_counter() - began < 40
     assert len(got) == 12004 and (got.corrected == 0).all()
+
+
+def test_spread_of_long_scans(spark):
+    """The cut by spread is linear in the scan and keeps its digits at a large mean."""
+    tod = F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda k: (k % 2 * 2 + 1e6).cast("float"))  # spread 1
+    scans = spark.range(1).select(tod.alias("tod"), F.array_repeat(F.lit(0), 40_000).alias("flag"))
+    began = time.perf_counter()
+    got = scans.select(layouts.live(1, 0.75, 2e6, 1.01).alias("wide"), layouts.live(1, 0.75, 2e6, 0.99).alias("narrow")).first()
+    assert time.perf_counter() - began < 20
+    assert got.wide and not got.narrow
