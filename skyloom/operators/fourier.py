@@ -53,14 +53,17 @@ def periodogram(x: np.ndarray, fsamp: float) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(len(x), 1 / fsamp), np.abs(np.fft.rfft(x)) ** 2 / len(x)
 
 
-def binned(f: np.ndarray, p: np.ndarray, nbin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means of a spectrum in exponential bins over f > 0; NaN in empty bins."""
-    edges = np.geomspace(f[1], f[-1] * (1 + 1e-9), nbin + 1) if len(f) > 2 else np.linspace(0, 1, nbin + 1)
+def binned(f: np.ndarray, p: np.ndarray, nbin: int, unit: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Means of a spectrum in exponential bins over f > 0; NaN in empty bins.
+
+    *f* may count a frequency of 1 / *unit*: sums of whole numbers are exact, so a mean is rounded once.
+    """
+    edges = np.geomspace(f[1], f[-1] * (1 + 1e-9), nbin + 1) if len(f) > 2 else np.linspace(0, unit, nbin + 1)
     at = np.digitize(f, edges) - 1
     ok = (at >= 0) & (at < nbin) & (f > 0)
     n = np.bincount(at[ok], minlength=nbin)
     with np.errstate(invalid="ignore"):
-        return np.bincount(at[ok], f[ok], nbin) / n, np.bincount(at[ok], p[ok], nbin) / n
+        return np.bincount(at[ok], f[ok], nbin) / (n * unit), np.bincount(at[ok], p[ok], nbin) / n
 
 
 def sigma_of_psd(x: np.ndarray, fsamp: float, width: float, safety: float = 0.95) -> float:
@@ -135,7 +138,8 @@ def scan_spectra(df: DataFrame, keys: list[str], value: str, fsamp: float, nbin:
     """keys, bin, f, power of every detector-scan's binned periodogram."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, p = binned(*periodogram(pdf[value].to_numpy(float), fsamp), nbin)
+        _, p = periodogram(pdf[value].to_numpy(float), fsamp)
+        f, p = binned(np.arange(len(p), dtype=float), p, nbin, len(pdf) / fsamp)
         return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"bin": np.arange(nbin), "f": f, "power": p})
 
     types = dict(df.dtypes)

@@ -614,3 +614,15 @@ def test_spread_of_long_scans(spark):
     got = scans.select(layouts.live(1, 0.75, 2e6, 1.01).alias("wide"), layouts.live(1, 0.75, 2e6, 0.99).alias("narrow")).first()
     assert time.perf_counter() - began < 20
     assert got.wide and not got.narrow
+
+
+def test_frequencies_of_bins_are_exact(spark):
+    """Means that end on a five in the fourth decimal round as the fractions do, not as a sum of rounded terms."""
+    long = spark.range(360).select(F.lit(1).alias("scan"), F.col("id").alias("i"), (F.col("id") % 7 * 1.0).alias("tod"))
+    short = spark.range(3).select(F.lit(2).alias("scan"), F.col("id").alias("i"), (F.col("id") * 1.0).alias("tod"))
+    got = fourier.scan_spectra(long.union(short), ["scan"], "tod", 1.0, 12).toPandas().set_index(["scan", "bin"])
+    at = np.minimum(11, np.floor(12 * np.log(np.arange(1, 181)) / np.log(180 * (1 + 1e-9)))).astype(int)
+    for b in set(at.tolist()):
+        k = np.flatnonzero(at == b) + 1
+        assert got.f[(1, b)] == k.sum() / (360 * len(k))
+    assert got.f[(1, 8)] == 0.1125 and got.f[2].dropna().tolist() == [1 / 3]
