@@ -606,6 +606,37 @@ def test_many_jumps_are_applied(spark):
     assert len(got) == 12004 and (got.corrected == 0).all()
 
 
+def test_a_jump_takes_arithmetic_alone():
+    """A scan of 100 000 jumps takes its windows at once, not two calls a jump."""
+    _, x, flags = stairs(100_000)
+    began = time.process_time()
+    places, offsets, _ = timelines.level_changes(x, flags != 0, flags == 0, 3)
+    assert time.process_time() - began < 1.2
+    assert len(places) == 100_000 and (offsets == -1).all()
+
+
+def test_samples_with_jumps_are_dealt_by_scan(spark):
+    """Detection reads and deals the samples once, application joins no sample by its place."""
+    rows = [("a", 1, i, float(i // 4), 2 * (i % 4 == 3), i % 4 != 3) for i in range(16)] + [("a", 2, i, 1.0, 0, True) for i in range(5)] + [(None, 2, 0, 1.0, 2, False)]
+    df = spark.createDataFrame(rows, "band string, scan long, i long, tod double, flag int, valid boolean").withColumn("other", F.lit(7))
+    found = timelines.detect_jumps(df, ["band", "scan"], "tod", 2, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert [(r.band, r.scan, [(j.loc, j.offset) for j in r.jumps], r.skipped) for r in found.collect()] == [("a", 1, [(4, -1.0), (8, -1.0), (12, -1.0)], 1)]
+    got = timelines.apply_jumps(df, timelines.unpack_jumps(timelines.pack_jumps(found, ["band", "scan"]), ["band", "scan"]), ["band", "scan"], "tod")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == [*df.columns, "corrected"] and got.count() == len(rows) and got.where("other != 7").count() == 0
+    assert {r.corrected for r in got.where("scan = 1 and valid").collect()} == {0.0} and {r.corrected for r in got.where("scan = 2").collect()} == {1.0}
+
+
+def test_a_jump_without_a_sample_at_its_place(spark):
+    """A jump moves all samples from its place on, also where the sample at its place is missing."""
+    df = spark.createDataFrame([(1, i, 5.0) for i in (0, 1, 3, 4)] + [(2, 2, 5.0)], "scan long, i long, tod double")
+    jumps = spark.createDataFrame([(1, 2, 1.0), (1, 4, 2.0), (1, 4, 3.0)], "scan long, loc long, offset double")
+    got = timelines.apply_jumps(df, jumps, ["scan"], "tod")
+    assert {(r.scan, r.i): r.corrected for r in got.collect()} == {(1, 0): 5.0, (1, 1): 5.0, (1, 3): 6.0, (1, 4): 11.0, (2, 2): 5.0}
+
+
 def test_spread_of_long_scans(spark):
     """The cut by spread is linear in the scan and keeps its digits at a large mean."""
     tod = F.transform(F.sequence(F.lit(0), F.lit(39_999)), lambda k: (k % 2 * 2 + 1e6).cast("float"))  # spread 1
